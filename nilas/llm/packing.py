@@ -46,6 +46,10 @@ class WordIds:
     SPACED = re.compile("[^ \t-\r]+")
     FINER = re.compile(r"[^\W\d_]+|(?:(?![^\W\d_])[^ \t-\r])+")
 
+    #: The same cuts for texts of Latin-1 characters, in half the time.
+    LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+    LATIN = re.compile(f"[{LETTERS}]+|[^{LETTERS} \t-\r]+")
+
     def __init__(self, path: str, remember: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's to share out
         from tokenizers import Tokenizer
@@ -71,11 +75,20 @@ class WordIds:
         out.update((u, np.array(e.ids, dtype="<u4").tobytes()) for u, e in zip(rest, found, strict=True))
         return list(map(out.__getitem__, units))
 
+    def pattern(self, text: str) -> re.Pattern:
+        if "'" in text:
+            return self.SPACED
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.FINER
+        return self.LATIN
+
     def ids(self, texts: list[str]) -> list[bytes]:
         safe = [
             not ("<|" in t or "\u0130" in t) and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts
         ]
-        rows = [(self.SPACED if "'" in t else self.FINER).findall(t) if ok else [] for t, ok in zip(texts, safe, strict=True)]
+        rows = [self.pattern(t).findall(t) if ok else [] for t, ok in zip(texts, safe, strict=True)]
         get = self.units.learn(rows)
         out = [b"".join(map(get, r)) for r in rows]
         whole = [i for i, ok in enumerate(safe) if not ok]
