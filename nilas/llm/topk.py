@@ -12,7 +12,7 @@ against each shard; no pair of rows is ever a row of a table.
 Vectors that are null, empty, or hold null or non-finite components take no
 part, nor do rows with a null id. Vectors meet only those of their own length.
 A repeated row counts once. Ties go to the smaller id. Scores beyond 64 bits
-are cut to the range. Only the two named columns are read.
+are cut to the range, and ranked as cut. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from nilas.llm.common import written
 
 LEAF = 128
+#: Scores are cut to this range before they are ranked.
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def whole(table: pa.Table, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +102,10 @@ class Tree:
                 scores = x[a:z] @ q[i]
                 for j in np.flatnonzero(scores >= need).tolist():
                     if self.ids[a + j] != ids[i]:
-                        heapq.heappush(best, (int(scores[j]), -int(self.ids[a + j])))
+                        heapq.heappush(best, (min(max(int(scores[j]), LEAST), MOST), -int(self.ids[a + j])))
                         if len(best) > k:
                             heapq.heappop(best)
-                if len(best) == k:
+                if len(best) == k and best[0][0] > LEAST:
                     need = max(need, best[0][0])
             out.append([(s, -j) for s, j in sorted(best, reverse=True)])
         return out
@@ -138,8 +140,8 @@ def search_cells(cells: DataFrame, k: int) -> DataFrame:
                 q = np.frombuffer(vecs, np.float64).reshape(len(ids), dim)
                 need = np.full(len(ids), -np.inf) if kth is None else np.frombuffer(kth, np.float64)
                 found = Tree.unpack(parts, dim).search(ids, q, k, need)
-                rows = [(int(i), j, min(max(s, -(2**63)), 2**63 - 1)) for i, best in zip(ids, found, strict=True) for s, j in best]
-                own = np.array([best[-1][0] if len(best) == k else -np.inf for best in found], dtype=np.float64)
+                rows = [(int(i), j, s) for i, best in zip(ids, found, strict=True) for s, j in best]
+                own = np.array([best[-1][0] if len(best) == k and best[-1][0] > LEAST else -np.inf for best in found], dtype=np.float64)
                 cols = [np.array(c, dtype=np.int64).tobytes() for c in (zip(*rows, strict=True) if rows else ((), (), ()))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([dim], pa.int32()), pa.array([block], pa.int32()), *[pa.array([c], pa.binary()) for c in (*cols, np.nextafter(own, -np.inf).tobytes())]],
