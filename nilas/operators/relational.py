@@ -84,3 +84,8 @@ def decide(df: DataFrame, time: str, metric: str, percent: str, limits: dict[str
     final = df.join(F.broadcast(last), F.col(time) == F.col("_t"))  # one row
     over = reduce(lambda x, y: x | y, [(F.col(metric) == m) & (F.abs(F.col(percent)) >= v) for m, v in limits.items()])
     return final.groupBy(time).agg(F.coalesce(F.bool_or(over), F.lit(False)).alias("different"), F.max(F.abs(F.col(percent))).alias("largest_percent"))
+
+
+def scatter(grid: DataFrame, values: DataFrame, keys: list[str], value: str, fill: float) -> DataFrame:
+    """Values back on the whole grid, the rest filled."""
+    return grid.join(values, keys, "left").na.fill(fill, [value])

@@ -121,3 +121,13 @@ def line_parts(vertices: Column) -> Column:
         F.slice(vertices, F.lit(1), F.size(vertices) - 1), F.slice(vertices, F.lit(2), F.size(vertices) - 1),
         lambda p, q: F.struct(p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1")),
     )
+
+
+def bilinear(targets: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """targets: keys, y, x in steps of the source's grid; source: j, i, value. Each target meets its four corners by key."""
+    fy, fx = F.col("y") - F.floor("y"), F.col("x") - F.floor("x")
+    corner = lambda dj, di, w: F.struct((F.floor("y") + dj).cast("int").alias("sj"), (F.floor("x") + di).cast("int").alias("si"), w.alias("w"))
+    corners = F.array(corner(0, 0, (1 - fy) * (1 - fx)), corner(0, 1, (1 - fy) * fx), corner(1, 0, fy * (1 - fx)), corner(1, 1, fy * fx))
+    asked = targets.select(*keys, F.inline(corners)).where("w > 0")
+    grid = source.select(F.col("j").alias("sj"), F.col("i").alias("si"), "value")
+    return asked.join(grid, ["sj", "si"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("value")).alias("value"))

@@ -145,3 +145,22 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], time: st
     back, ahead = F.datediff(time, "_a.t"), F.datediff(F.col("_b.t"), F.col(time))
     near = F.when(F.col("_b").isNull() | (back <= ahead), F.col("_a")).otherwise(F.col("_b"))
     return both.where("_left").select(*keys, time, near["t"].alias("matched_time"), near["v"].alias(value))
+
+
+def wrapped_values(df: DataFrame, day: str, value: str, length: int = 365) -> DataFrame:
+    """Linear values of every day of a year between known days, across the new year too."""
+    ring = df.where(F.col(value).isNotNull()).withColumn("_at", F.explode(F.array(F.col(day), F.col(day) - length, F.col(day) + length)))
+    ring = ring.select("_at", F.struct(F.col("_at").alias("t"), F.col(value).alias("v")).alias("_s"))
+    days = df.sparkSession.range(1, length + 1).select(F.col("id").cast("int").alias("_at")).withColumn("_day", F.lit(True))
+    w = Window.orderBy("_at")  # a year of rows
+    line = days.join(ring, "_at", "full").withColumn("_a", F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    line = line.withColumn("_b", F.first("_s", True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_day")
+    share = F.try_divide(F.col("_at") - F.col("_a.t"), F.col("_b.t") - F.col("_a.t"))
+    return line.select(F.col("_at").alias(day), F.coalesce(F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share, F.col("_a.v")).alias(value))
+
+
+def dilated(df: DataFrame, mask: str, radius: int, j: str = "nj", i: str = "ni") -> DataFrame:
+    """Adds `near`: a marked cell within `radius` rows and columns. Marked cells are spread, not all cells compared."""
+    steps = F.sequence(F.lit(-radius), F.lit(radius))
+    marks = df.where(mask).select(j, i).withColumn(j, F.explode(F.transform(steps, lambda d: F.col(j) + d))).withColumn(i, F.explode(F.transform(steps, lambda d: F.col(i) + d)))
+    return df.join(marks.distinct().withColumn("near", F.lit(True)), [j, i], "left").na.fill(False, ["near"])

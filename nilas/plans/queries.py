@@ -8,13 +8,17 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nilas.config import Classification
 from nilas.functions import angles, calendar, physics, units
 from nilas.nulls import ratio, zsum
 from nilas.operators import aggregates as agg
 from nilas.operators import predicates as pred
 from nilas.operators import relational as rel
 from nilas.operators import spatial, temporal, windows
-from nilas.plans.surrogates import BOXES, DAILY, FLAGS, HOURLY, POINTS, SERIES, SPECTRA, STAGGERED, STATIONS, Tables
+from nilas.plans.classify import classify
+from nilas.plans.metrics import compute
+from nilas.plans.surrogates import BOXES, DAILY, FLAGS, HOURLY, POINTS, SERIES, SPECTRA, SPEED, STAGGERED, STATIONS, Tables
+from nilas.sources import tables
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -842,3 +846,100 @@ def k09_k12_upsert(t: Tables) -> DataFrame:
 def t05_daily_groups(t: Tables) -> DataFrame:
     g = t.read("events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
     return g.select(C("w.start").cast("date").alias("day"), "event_type", "n", "v")
+
+
+# --- plans ------------------------------------------------------------------------------------------------------------
+
+
+def fields(t: Tables) -> DataFrame:
+    return t.daily().withColumnsRenamed({"rate": "dvidtt", "tend": "daidtt"})
+
+
+@query(f"""WITH {DAILY}, b AS (SELECT *, coalesce(sum(CAST(fi AS INTEGER)) OVER w >= 9, FALSE) AS fast FROM masks WINDOW w AS (PARTITION BY cell ORDER BY time ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
+SELECT time, cell, fast AS fi, aice > 0.15::REAL AND NOT fast AS pi, si FROM b""")
+def classify_binary_days(t: Tables) -> DataFrame:
+    return classify(fields(t), "binary-days", Classification(speed=SPEED)).select("time", "cell", "fi", "pi", "si")
+
+
+@query(f"""WITH {DAILY}, ts AS (SELECT time, {', '.join(METRICS.format(d=d, m=m, v='TRUE' if d == 'S' else m) for d, m in M.items())} FROM masks GROUP BY time),
+l AS (UNPIVOT (SELECT time, FIA, FIV, FIT, PIA, SIA, SIT FROM ts) ON FIA, FIV, FIT, PIA, SIA, SIT INTO NAME metric VALUE value),
+maps AS (SELECT cell, 100 * avg(CASE WHEN fi THEN 1.0 ELSE 0.0 END) AS FIP, avg(CASE WHEN fi THEN hi END) AS FIHI FROM masks GROUP BY cell),
+m AS (SELECT 'FIP' AS metric, cell, FIP AS value FROM maps UNION ALL SELECT 'FIHI', cell, FIHI FROM maps)
+SELECT metric, time, NULL::VARCHAR AS region, NULL::INTEGER AS cell, value FROM (SELECT t.time, n.metric, l.value FROM (SELECT time FROM ts) t, (VALUES ('FIA'), ('FIV'), ('FIT'), ('PIA'), ('SIA'), ('SIT')) n(metric) LEFT JOIN l ON l.time = t.time AND l.metric = n.metric)
+UNION ALL SELECT metric, NULL, NULL, cell, value FROM m""")
+def metric_catalogue(t: Tables) -> DataFrame:
+    names = ["FIA", "FIV", "FIT", "PIA", "SIA", "SIT", "FIP", "FIHI"]
+    made = compute(classify(fields(t), "raw", Classification(speed=SPEED)), names)
+    return made.drop("units")
+
+
+@query(f"""WITH {DAILY}, {BOXES} SELECT 'FIA_by_region' AS metric, time, region, coalesce(sum(CASE WHEN fi THEN aice ELSE 0 END * area), 0) / 1e9 AS value FROM masks JOIN boxes ON {BOX} GROUP BY 2, 3""")
+def metric_catalogue_regional(t: Tables) -> DataFrame:
+    made = compute(classify(fields(t), "raw", Classification(speed=SPEED)), ["FIA_by_region"], regions=t.regions())
+    return made.select("metric", "time", "region", "value")
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT time, coalesce(sum(CASE WHEN fi THEN aice ELSE 0 END * area), 0) / 1e9 AS v FROM masks GROUP BY time),
+{YEARS.format(k='', t='s')} SELECT 'FIA_max_mean' AS metric, avg(max) AS value FROM years UNION ALL SELECT 'FIA_doy_min_std', stddev_pop(doy_min) FROM years""")
+def metric_catalogue_summary(t: Tables) -> DataFrame:
+    made = compute(classify(fields(t), "raw", Classification(speed=SPEED)), ["FIA_max_mean", "FIA_doy_min_std"])
+    return made.select("metric", "value")
+
+
+@query(f"""WITH {SERIES}, s AS (SELECT dayofyear(time) AS doy, avg(v) AS v FROM series WHERE day(time) = 15 AND year(time) = 1997 GROUP BY 1), ring AS (SELECT doy + k AS d, v FROM s, (VALUES (0), (-365), (365)) r(k)),
+days AS (SELECT CAST(range AS INTEGER) AS doy FROM range(1, 366)), j AS (SELECT doy, (SELECT max(d) FROM ring WHERE d <= doy) AS a, (SELECT min(d) FROM ring WHERE d >= doy) AS b FROM days)
+SELECT j.doy, CASE WHEN a = b THEN x.v ELSE x.v + (y.v - x.v) * (j.doy - a) / (b - a) END AS v FROM j JOIN ring x ON x.d = a JOIN ring y ON y.d = b""")
+def w14_wrapped_interpolation(t: Tables) -> DataFrame:
+    s = t.series().where("day(time) = 15 AND year(time) = 1997").groupBy(F.dayofyear("time").alias("doy")).agg(F.avg("v").alias("v"))
+    return windows.wrapped_values(s, "doy", "v")
+
+
+@query("""SELECT CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, (1 - (y - floor(y))) * (1 - (x - floor(x))) * (10 * floor(y) + floor(x)) + (1 - (y - floor(y))) * (x - floor(x)) * (10 * floor(y) + floor(x) + 1)
+  + (y - floor(y)) * (1 - (x - floor(x))) * (10 * (floor(y) + 1) + floor(x)) + (y - floor(y)) * (x - floor(x)) * (10 * (floor(y) + 1) + floor(x) + 1) AS value
+FROM (SELECT a.range AS j, b.range AS i, a.range * 0.75::DOUBLE AS y, b.range * 0.6::DOUBLE AS x FROM range(10) a, range(10) b)""")
+def g05_bilinear(t: Tables) -> DataFrame:
+    cells = lambda n: t.spark.range(n).select(C("id").cast("int").alias("j")).crossJoin(t.spark.range(n).select(C("id").cast("int").alias("i")))  # noqa: E731  two grids of fixed size
+    source = cells(10).select("j", "i", (10.0 * C("j") + C("i")).alias("value"))
+    targets = cells(10).select("j", "i", (C("j") * 0.75).alias("y"), (C("i") * 0.6).alias("x"))
+    return spatial.bilinear(targets, source, ["j", "i"])
+
+
+@query(f"""WITH {STAGGERED} SELECT nj, ni, CAST(nj BETWEEN 2 AND 6 AND ni BETWEEN 3 AND 7 AS BOOLEAN) AS near FROM staggered""")
+def p14_dilated_candidates(t: Tables) -> DataFrame:
+    s = t.staggered().select("nj", "ni", ((C("nj") == 4) & (C("ni") == 5)).alias("land"))
+    return windows.dilated(s, "land", 2).select("nj", "ni", "near")
+
+
+@query(f"WITH {STAGGERED}, s AS (SELECT * FROM staggered WHERE (nj + ni) % 4 = 0) SELECT g.nj, g.ni, coalesce(s.u, 0.0::DOUBLE) AS u FROM staggered g LEFT JOIN s USING (nj, ni)")
+def g11_scatter_back(t: Tables) -> DataFrame:
+    g = t.staggered()
+    return rel.scatter(g.select("nj", "ni"), g.where((C("nj") + C("ni")) % 4 == 0).select("nj", "ni", "u"), ["nj", "ni"], "u", 0.0)
+
+
+@query("""SELECT s_nationkey AS k, sum(s_acctbal) AS total, sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END) > 0 AS any_valid FROM supplier GROUP BY 1""")
+def a49_not_all_missing(t: Tables) -> DataFrame:
+    v = F.when(C("s_acctbal") > 0, C("s_acctbal"))
+    return t.read("supplier").groupBy(C("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("total"), (F.count(v) > 0).alias("any_valid"))
+
+
+@query(f"""WITH {DAILY}, {TYPED} SELECT d.time, c.v AS obs, count(*) AS n FROM daily d JOIN typed c ON c.time = d.time AND c.kind = 'view' GROUP BY 1, 2""")
+def j04_key_broadcast(t: Tables) -> DataFrame:
+    return t.daily().join(t.typed("view").withColumnRenamed("v", "obs"), "time").groupBy("time", "obs").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {DAILY}, m AS (SELECT time, sum(CAST(aice AS DOUBLE) * area) / 1e12 AS sia FROM daily GROUP BY 1) SELECT time, sia FROM m""")
+def s31_series_from_concentration(t: Tables) -> DataFrame:
+    return tables.concentration_series(t.daily().select("time", "aice", "area"))
+
+
+@query("""SELECT path AS key, first AS value FROM (SELECT DISTINCT o_custkey AS path, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders)""")
+def u05_ordered_unique(t: Tables) -> DataFrame:
+    o = t.read("orders").select(C("o_custkey").alias("key"), C("o_orderkey").alias("value"))
+    return windows.first_of(o, [C("key")], [C("value")])
+
+
+@query(f"""WITH {DAILY} SELECT time, cell, median(CAST(aice AS DOUBLE)) OVER (PARTITION BY time) AS median_aice, least(aice, hi) AS low FROM daily""")
+def a27_median_by_day(t: Tables) -> DataFrame:
+    d = t.daily()
+    med = d.groupBy("time").agg(F.median(C("aice").cast("double")).alias("median_aice"))
+    return d.join(med, "time").select("time", "cell", "median_aice", F.least("aice", "hi").alias("low"))
