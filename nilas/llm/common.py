@@ -54,3 +54,13 @@ def row_key(doc_id: Column, text: Column) -> Column:
         doc_id.cast("long"),
         -F.lit(1) - F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 1),
     )
+
+
+def dealt_anew(df: DataFrame) -> DataFrame:
+    """One row per key, dealt out by all columns.
+
+    A table just grouped by a join's key would be joined where it is, and a hot
+    key's rows would all come to that place. After this the join shuffles both
+    sides, and adaptive execution can split the large partitions of the other.
+    """
+    return df.repartition(*df.columns)

@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nilas.llm.common import ASCII_SPACE, hash128
+from nilas.llm.common import ASCII_SPACE, dealt_anew, hash128
 
 
 def lines_of(text: Column) -> Column:
@@ -42,7 +42,6 @@ def dedup_lines(
         .groupBy("_h1", "_h2")
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") >= min_docs)
-        .select("_h1", "_h2")
     )
     places = (
         doc.select("_k1", "_k2", F.posexplode(keys).alias("_pos", "_key"))
@@ -51,7 +50,7 @@ def dedup_lines(
         .select("_k1", "_k2", "_pos", "_h1", "_h2")
     )
     dropped = (
-        places.join(frequent, ["_h1", "_h2"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_list("_pos").alias("_drop"))
+        places.join(dealt_anew(frequent).select("_h1", "_h2"), ["_h1", "_h2"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_list("_pos").alias("_drop"))
     )
     lines = F.col("_lines")
     stay = F.when(
