@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nilas.llm.common import row_key, written
+from nilas.llm.common import dealt_anew, row_key, written
 
 BASE = 0x5851F42D4C957F2D
 POSITION = np.uint64(20)
@@ -334,7 +334,8 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, batches: int) -> Dat
     unclear = classes.join(shared.where("classes > 1"), ["head", "t", "core"]).select("one.*", "t")
     asked = unclear.groupBy("k1", "k2", "p").agg(F.collect_list("t").alias("ts"))
     windows = written(window_rows(ctx.join(asked, ["k1", "k2", "p"]), length), "windows")
-    both = windows.groupBy("head", "text").agg(F.count("*").alias("n")).where("n > 1").select("head", "text")
+    both = windows.groupBy("head", "text").agg(F.count("*").alias("n")).where("n > 1")
+    both = dealt_anew(both).select("head", "text")
     return spans.union(windows.join(both, ["head", "text"]).select("k1", "k2", F.col("s").alias("start"), (F.col("s") + length).alias("stop")))
 
 
