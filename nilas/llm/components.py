@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nilas.llm.common import written
+from nilas.llm.common import dealt_anew, written
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -15,7 +15,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = both.join(least, "u")
+    met = both.join(dealt_anew(least), "u")
     if large:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

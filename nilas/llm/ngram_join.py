@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nilas.llm.common import row_key, written
+from nilas.llm.common import dealt_anew, row_key, written
 from nilas.llm.components import components, forest
 
 BANDS, ROWS = 32, 4
@@ -289,7 +289,7 @@ def similar(
     )
     keyed = bands(reps)
     least = keyed.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("_n")).where(F.col("_n") > 1)
-    near = keyed.join(least.select("key", "v"), "key").select(F.col("id").alias("u"), "v")
+    near = keyed.join(dealt_anew(least).select("key", "v"), "key").select(F.col("id").alias("u"), "v")
     groups = components(near).select(F.col("node").alias("id"), F.col("component").alias("comp"))
     members = groups.join(reps.select("id", "copies", "n", "sig"), "id")
     sizes = groups.join(reps.select("id", "n"), "id").groupBy("comp").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
