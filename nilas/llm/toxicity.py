@@ -128,6 +128,13 @@ def beginnings(rows: Iterable[tuple[str, int]]) -> dict[str, tuple[int]]:
     return {k: (v,) for k, v in n.items()}
 
 
+def unevenness(n: int, of: int, m: int, out: int) -> float:
+    """Log-likelihood ratio (G) of n of `of` and m of `out` against one common share."""
+    p = (n + m) / (of + out)
+    terms = ((n, of * p), (of - n, of * (1 - p)), (m, out * p), (out - m, out * (1 - p)))
+    return 2 * sum(x * np.log(x / e) for x, e in terms if x > 0)
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -140,23 +147,31 @@ def learn(
     most_candidates: int = 20_000,
     most_entries: int = 1_000,
     least_docs: int = 3,
+    least_share: float = 0.01,
     least_weight: float = 2.5,
+    doubt: float = 0.05,
 ) -> Lexicon:
-    """A lexicon from the labelled documents; `train`, a condition on the labels' id column, names the rows to learn from."""
+    """A lexicon from the labelled documents; `train`, a condition on the labels' id column, names the rows to learn from.
+
+    An entry stands in `least_docs` and the share `least_share` of the toxic
+    documents at least, has a weight of `least_weight`, and so uneven counts that
+    fewer than `doubt` of all candidates together would show them by chance.
+    Copies of one text count once.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if train is not None:
         known = known.where(train)
     known = known.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(most_labelled)  # bounded, so it can be broadcast
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sample = written(texts.join(F.broadcast(known), "_id").select("_text", "_y"), "labelled")
+    sample = written(texts.join(F.broadcast(known), "_id").select("_text", "_y").distinct(), "labelled")
     sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         share = toxic / max(1, toxic + clean)
         return Lexicon(model=(float(np.log((share + 1e-12) / (1 - share + 1e-12))), 0.0, 0.0, 0.0))
 
-    first = counted(sample, beginnings, ("n",)).where(F.col("n") >= least_docs)
+    first = counted(sample, beginnings, ("n",)).where(F.col("n") >= max(least_docs, least_share * toxic))
     candidates = {r["entry"]: r["n"] for r in first.orderBy(F.col("n").desc(), "entry").limit(most_candidates).collect()}
     probe = Lexicon({c: 1.0 for c in candidates}, ())
 
@@ -171,10 +186,11 @@ def learn(
     weights = {
         e: float(np.log((n + 0.5) / (toxic + 1)) - np.log((harmless.get(e, 0) + 0.5) / (clean + 1))) for e, n in candidates.items()
     }
+    enough = 2 * np.log(max(1, len(candidates)) / doubt)
     # A longer entry adds nothing to a beginning that is itself one.
     entries: dict[str, float] = {}
     for e in sorted(weights, key=lambda e: (len(e), e)):
-        if weights[e] >= least_weight and not any(e[:k] in entries for k in range(2, len(e))):
+        if weights[e] >= least_weight and unevenness(candidates[e], toxic, harmless.get(e, 0), clean) >= enough and not any(e[:k] in entries for k in range(2, len(e))):
             entries[e] = weights[e]
     best = sorted(entries, key=lambda e: (-entries[e] * candidates[e], e))[:most_entries]
     lexicon = Lexicon({e: entries[e] for e in best})
