@@ -149,13 +149,13 @@ def learn(
     least_docs: int = 3,
     least_share: float = 0.01,
     least_weight: float = 2.5,
-    doubt: float = 0.05,
+    doubt: float = 1.0,
 ) -> Lexicon:
     """A lexicon from the labelled documents; `train`, a condition on the labels' id column, names the rows to learn from.
 
     An entry stands in `least_docs` and the share `least_share` of the toxic
     documents at least, has a weight of `least_weight`, and so uneven counts that
-    fewer than `doubt` of all candidates together would show them by chance.
+    chance alone is expected to show them in at most `doubt` of all candidates.
     Copies of one text count once.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
