@@ -865,12 +865,12 @@ def classify_binary_days(t: Tables) -> DataFrame:
 l AS (UNPIVOT (SELECT time, FIA, FIV, FIT, PIA, SIA, SIT FROM ts) ON FIA, FIV, FIT, PIA, SIA, SIT INTO NAME metric VALUE value),
 maps AS (SELECT cell, 100 * avg(CASE WHEN fi THEN 1.0 ELSE 0.0 END) AS FIP, avg(CASE WHEN fi THEN hi END) AS FIHI FROM masks GROUP BY cell),
 m AS (SELECT 'FIP' AS metric, cell, FIP AS value FROM maps UNION ALL SELECT 'FIHI', cell, FIHI FROM maps)
-SELECT metric, time, NULL::VARCHAR AS region, NULL::INTEGER AS cell, value FROM (SELECT t.time, n.metric, l.value FROM (SELECT time FROM ts) t, (VALUES ('FIA'), ('FIV'), ('FIT'), ('PIA'), ('SIA'), ('SIT')) n(metric) LEFT JOIN l ON l.time = t.time AND l.metric = n.metric)
+SELECT metric, CAST(time AS VARCHAR) AS time, NULL::VARCHAR AS region, NULL::INTEGER AS cell, value FROM (SELECT t.time, n.metric, l.value FROM (SELECT time FROM ts) t, (VALUES ('FIA'), ('FIV'), ('FIT'), ('PIA'), ('SIA'), ('SIT')) n(metric) LEFT JOIN l ON l.time = t.time AND l.metric = n.metric)
 UNION ALL SELECT metric, NULL, NULL, cell, value FROM m""")
 def metric_catalogue(t: Tables) -> DataFrame:
     names = ["FIA", "FIV", "FIT", "PIA", "SIA", "SIT", "FIP", "FIHI"]
     made = compute(classify(fields(t), "raw", Classification(speed=SPEED)), names)
-    return made.drop("units")
+    return made.drop("units").withColumn("time", C("time").cast("string"))
 
 
 @query(f"""WITH {DAILY}, {BOXES} SELECT 'FIA_by_region' AS metric, time, region, coalesce(sum(CASE WHEN fi THEN aice ELSE 0 END * area), 0) / 1e9 AS value FROM masks JOIN boxes ON {BOX} GROUP BY 2, 3""")
