@@ -7,7 +7,10 @@ from dataclasses import dataclass
 
 METHODS = {"raw": "raw", "binary-days": "binary-days", "binary_days": "binary-days", "rolling-mean": "rolling-mean", "rolling_mean": "rolling-mean"}
 HEMISPHERES = {"sh": "SH", "south": "SH", "southern": "SH", "s": "SH", "nh": "NH", "north": "NH", "northern": "NH", "n": "NH"}
-FREQUENCIES = {"d": "daily", "day": "daily", "daily": "daily", "h": "hourly", "hour": "hourly", "hourly": "hourly"}
+FREQUENCIES = {
+    "d": "daily", "day": "daily", "days": "daily", "daily": "daily", "h": "hourly", "hour": "hourly", "hours": "hourly", "hourly": "hourly",
+    "inst": "hourly", "instantaneous": "hourly",
+}
 
 #: The named longitude and latitude boxes, edges included.
 REGIONS = (

@@ -43,9 +43,10 @@ def chord_km(chord: Column) -> Column:
 
 
 def central_meridian(lon_min: Column, lon_max: Column) -> Column:
-    """The middle of a box, across the date line if it wraps."""
-    east = F.when(lon_max < lon_min, lon_max + 360.0).otherwise(lon_max)
-    return lon180((lon_min + east) / 2)
+    """The middle of a box, across the date line if it wraps; a box right around has its edge as its middle."""
+    west, east = lon180(lon_min), lon180(lon_max)
+    middle = (west + F.when(west > east, east + 360.0).otherwise(east)) / 2
+    return F.when(middle > 180.0, middle - 360.0).otherwise(middle)
 
 
 #: The WGS 84 ellipsoid and the standard parallel of the southern polar stereographic plane.

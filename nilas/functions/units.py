@@ -18,14 +18,21 @@ def thickness_rate_m_day(value: Column, units: Column) -> Column:
     return F.when(u.isin("m/day", "m day-1"), value).when(u.isin("m/s", "m s-1"), value * 86400.0).otherwise(value / 100.0)
 
 
+def _square(units: Column) -> Column:
+    """One spelling of area units: km² , km**2 and km^2 are km2, 10^3 is 1e3, and blanks and stars go."""
+    u = F.replace(F.replace(F.lower(units), F.lit("²"), F.lit("2")), F.lit("^"), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(u, r"[\s*]", ""), "^10(?=[36])", "1e")
+
+
 def area_million_km2(value: Column, units: Column) -> Column:
-    u = _clean(units)
-    known = F.when(u == "m2", value / 1e12).when(u == "km2", value / 1e6).when(u == "1e3 km2", value / 1e3).when(u == "1e6 km2", value)
+    """Millions of square kilometres; unknown units are an error."""
+    u = _square(units)
+    known = F.when(u == "m2", value / 1e12).when(u == "km2", value / 1e6).when(u == "1e3km2", value / 1e3).when(u == "1e6km2", value)
     return known.otherwise(F.raise_error(F.concat(F.lit("unknown area units: "), units)).cast("double"))
 
 
 def area_m2(value: Column, units: Column) -> Column:
-    return F.when(_clean(units).isin("km2", "km^2"), value * 1e6).otherwise(value)
+    return F.when(_square(units) == "km2", value * 1e6).otherwise(value)
 
 
 def length_m(value: Column, units: Column) -> Column:

@@ -97,3 +97,24 @@ def mobility(df: DataFrame, speed_mean: str, speed_max: str, fraction: str, limi
             "pulsed": (x > limit) & (f <= share),
         }
     )
+
+
+def polar(lat: Column, name: str, limit: float) -> Column:
+    """Poleward of a latitude limit, which is included."""
+    return lat <= -abs(limit) if name == "SH" else lat >= abs(limit)
+
+
+def in_months(time: Column, months: tuple[int, ...]) -> Column:
+    return F.month(time).isin(*months)
+
+
+def at_least(category: Column, least: float) -> Column:
+    """1.0 where a category is reached, else 0.0; missing ones are 0.0."""
+    return F.when(category >= least, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float")
+
+
+def triples(df: DataFrame, lon: str, lat: str, value: str, drop_zero: bool = False) -> DataFrame:
+    """A field as lon, lat and value of its finite points, without zeros if asked."""
+    v = F.col(value)
+    fine = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return df.where(fine & (v != 0) if drop_zero else fine).select(F.col(lon).alias("lon"), F.col(lat).alias("lat"), v.alias("value"))

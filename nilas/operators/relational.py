@@ -89,3 +89,23 @@ def decide(df: DataFrame, time: str, metric: str, percent: str, limits: dict[str
 def scatter(grid: DataFrame, values: DataFrame, keys: list[str], value: str, fill: float) -> DataFrame:
     """Values back on the whole grid, the rest filled."""
     return grid.join(values, keys, "left").na.fill(fill, [value])
+
+
+def first_wins(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Rows of several tables; of rows with equal keys the one of the earliest table stays."""
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [df.withColumn("_part", F.lit(i)) for i, df in enumerate(parts)])
+    rest = F.struct(*[c for c in rows.columns if c not in (*keys, "_part")])
+    best = rows.groupBy(*keys).agg(F.min_by(rest, "_part").alias("_best"))
+    return best.select(*keys, "_best.*")
+
+
+def ordered_as(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Adds `place`, the position of each name in a fixed order; unknown names come last."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(column)).cast("int")
+    return df.withColumn("place", F.when(place > 0, place).otherwise(len(names) + 1))
+
+
+def by_alias(value: Column, names: dict[str, str]) -> Column:
+    """The canonical name of each alias, NULL for unknown ones."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), F.replace(F.lower(F.trim(value)), F.lit("_"), F.lit("-")))

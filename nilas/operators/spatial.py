@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nilas.functions.angles import EARTH_KM, chord_km, unit_xyz
@@ -131,3 +131,18 @@ def bilinear(targets: DataFrame, source: DataFrame, keys: list[str]) -> DataFram
     asked = targets.select(*keys, F.inline(corners)).where("w > 0")
     grid = source.select(F.col("j").alias("sj"), F.col("i").alias("si"), "value")
     return asked.join(grid, ["sj", "si"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def frequency_bins(spark: SparkSession, first: float, ratio: float, bins: int) -> DataFrame:
+    """Geometric frequency bins: centre, edges half a ratio away, and width."""
+    centre = F.lit(first) * F.pow(F.lit(ratio), F.col("id").cast("double"))
+    half = ratio**0.5
+    b = spark.range(bins).select(F.col("id").cast("int").alias("bin"), centre.alias("f"))
+    return b.select("bin", "f", (F.col("f") / half).alias("lo"), (F.col("f") * half).alias("hi"), (F.col("f") * half - F.col("f") / half).alias("width"))
+
+
+def raster_centres(extents: DataFrame, pixel: float) -> DataFrame:
+    """The pixel centres (row from the top, x, y) of each extent x_min, y_min, x_max, y_max, snapped outward to whole pixels."""
+    e = extents.select("*", *[F.floor(F.col(c) / pixel).cast("int").alias(f"_{c}") for c in ("x_min", "y_min")], *[F.ceil(F.col(c) / pixel).cast("int").alias(f"_{c}") for c in ("x_max", "y_max")])
+    grid = e.withColumn("_i", F.explode(F.sequence("_x_min", F.col("_x_max") - 1))).withColumn("_j", F.explode(F.sequence("_y_min", F.col("_y_max") - 1)))
+    return grid.select(*extents.columns, (F.col("_y_max") - 1 - F.col("_j")).alias("row"), ((F.col("_i") + 0.5) * pixel).alias("x"), ((F.col("_j") + 0.5) * pixel).alias("y"))

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nilas.config import Classification
+from nilas.config import FREQUENCIES, HEMISPHERES, Classification
 from nilas.functions import angles, calendar, physics, units
 from nilas.nulls import ratio, zsum
 from nilas.operators import aggregates as agg
@@ -943,3 +943,104 @@ def a27_median_by_day(t: Tables) -> DataFrame:
     d = t.daily()
     med = d.groupBy("time").agg(F.median(C("aice").cast("double")).alias("median_aice"))
     return d.join(med, "time").select("time", "cell", "median_aice", F.least("aice", "hi").alias("low"))
+
+
+# --- filters, merges and names ----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DAILY} SELECT time, cell, fi, aice >= 0.15::REAL AND NOT fi AS pi FROM masks""")
+def p02_p04_reanalysis_masks(t: Tables) -> DataFrame:
+    d = t.daily().withColumn("fi", pred.fast_ice(C("aice"), C("speed"), limit=SPEED))
+    return d.select("time", "cell", "fi", pred.pack_ice(C("aice"), C("fi"), inclusive=True).alias("pi"))
+
+
+@query(f"""WITH {STATIONS} SELECT src_id, lat <= -70 AS polar, value > 0 AND lat <= -65 AS active FROM stations""")
+def p15_p20_polar_and_active(t: Tables) -> DataFrame:
+    return t.stations().select("src_id", pred.polar(C("lat"), "SH", 70).alias("polar"), ((C("value") > 0) & pred.polar(C("lat"), "SH", 65)).alias("active"))
+
+
+@query(f"""WITH {SERIES} SELECT year(time) AS y, count(*) AS n, sum(v) AS v FROM series WHERE month(time) IN (5, 6, 7, 8, 9, 10) GROUP BY 1""")
+def p23_winter_months(t: Tables) -> DataFrame:
+    return t.series().where(pred.in_months(C("time"), (5, 6, 7, 8, 9, 10))).groupBy(F.year("time").alias("y")).agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+
+
+@query("""SELECT p_size AS category, count(*) AS cells, sum(CASE WHEN nullif(p_size, 7) >= 4 THEN 1.0 ELSE 0.0 END * p_retailprice) AS area,
+  sum(CASE WHEN p_size - 25 > 0 THEN p_retailprice ELSE 0 END) AS positive_area FROM part GROUP BY 1""")
+def p17_p18_a25_category_area(t: Tables) -> DataFrame:
+    v = F.nullif(C("p_size"), F.lit(7))
+    return t.read("part").groupBy(C("p_size").alias("category")).agg(
+        F.count("*").alias("cells"), F.sum(pred.at_least(v, 4) * C("p_retailprice")).alias("area"),
+        F.sum(pred.masked(C("p_retailprice"), C("p_size") - 25 > 0, 0.0)).alias("positive_area"),
+    )
+
+
+@query(f"""WITH {POINTS} SELECT i_type, core_id, hi FROM points WHERE i_type IN ('1-URGENT', '5-LOW') AND hi > 3""")
+def p26_type_subset(t: Tables) -> DataFrame:
+    return t.points().where(C("i_type").isin("1-URGENT", "5-LOW") & (C("hi") > 3)).select("i_type", "core_id", "hi")
+
+
+@query(f"""WITH {DAILY} SELECT lon, lat, CAST(hi AS DOUBLE) AS value FROM daily WHERE hi IS NOT NULL AND hi <> 0""")
+def p27_finite_triples(t: Tables) -> DataFrame:
+    return pred.triples(t.daily().withColumn("hi", C("hi").cast("double")), "lon", "lat", "hi", drop_zero=True)
+
+
+@query(f"""WITH {TYPED}, a AS (SELECT time, kind, v, CASE kind WHEN 'view' THEN 0 ELSE 1 END AS part FROM typed WHERE kind IN ('view', 'click'))
+SELECT time, arg_min(v, part) AS v FROM a GROUP BY time""")
+def j05_first_wins(t: Tables) -> DataFrame:
+    return rel.first_wins([t.typed("view"), t.typed("click")], ["time"])
+
+
+@query("""SELECT n_nationkey AS k, n_name AS name, CAST(NULL AS VARCHAR) AS extra, 'old' AS run FROM nation WHERE n_nationkey < 10
+UNION ALL SELECT n_nationkey, n_name, upper(n_name), 'new' FROM nation WHERE n_nationkey >= 5""")
+def u01_u04_concat(t: Tables) -> DataFrame:
+    n = t.read("nation").select(C("n_nationkey").alias("k"), C("n_name").alias("name"))
+    return rel.stack({"old": n.where("k < 10"), "new": n.where("k >= 5").withColumn("extra", F.upper("name"))}, "run").select("k", "name", "extra", "run")
+
+
+@query("""SELECT r_name AS region, CAST(CASE r_name WHEN 'ASIA' THEN 1 WHEN 'AFRICA' THEN 2 WHEN 'EUROPE' THEN 3 ELSE 4 END AS INTEGER) AS place FROM region""")
+def o08_region_order(t: Tables) -> DataFrame:
+    return rel.ordered_as(t.read("region").select(C("r_name").alias("region")), "region", ["ASIA", "AFRICA", "EUROPE"]).orderBy("place", "region")
+
+
+@query(f"""WITH {SERIES} SELECT time, v FROM series ORDER BY time LIMIT 25""")
+def o01_o09_first_rows(t: Tables) -> DataFrame:
+    return t.series().orderBy("time").limit(25)
+
+
+@query(f"""WITH {BOXES}, m AS (SELECT *, CASE WHEN lon_min <= lon_max THEN (lon_min + lon_max) / 2 ELSE (lon_min + lon_max + 360) / 2 END AS c FROM boxes)
+SELECT region, CASE WHEN c > 180 THEN c - 360 ELSE c END AS meridian, CASE WHEN lat_min + lat_max < 0 THEN -90 ELSE 90 END AS pole FROM m""")
+def f05_map_centre(t: Tables) -> DataFrame:
+    pole = F.when(C("lat_min") + C("lat_max") < 0, -90).otherwise(90)
+    return t.regions().select("region", angles.central_meridian(C("lon_min"), C("lon_max")).alias("meridian"), pole.alias("pole"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_retailprice / 1e12 WHEN 1 THEN p_retailprice / 1e6 WHEN 2 THEN p_retailprice / 1e3 ELSE p_retailprice END AS area6 FROM part""")
+def f07_area_spellings(t: Tables) -> DataFrame:
+    unit = F.get(F.array(*map(F.lit, ("m^2", "km**2", "10^3 km²", "10^6*km^2"))), (C("p_partkey") % 4).cast("int"))
+    return t.read("part").select("p_partkey", units.area_million_km2(C("p_retailprice"), unit).alias("area6"))
+
+
+@query("""SELECT p_partkey, coalesce(CASE WHEN p_size > 20 THEN p_retailprice END, CASE WHEN p_size > 5 THEN p_size * 2.0 END, 25000.0 * 25000.0) AS area FROM part""")
+def f15_f34_fallbacks(t: Tables) -> DataFrame:
+    known, product = F.when(C("p_size") > 20, C("p_retailprice")), F.when(C("p_size") > 5, C("p_size") * 2.0)
+    return t.read("part").select("p_partkey", F.coalesce(known, product, F.lit(25000.0 * 25000.0)).alias("area"))
+
+
+@query("""WITH e AS (SELECT s_nationkey AS k, min(s_acctbal) AS x_min, max(s_acctbal) AS x_max FROM supplier GROUP BY 1 HAVING count(*) > 1)
+SELECT k, CAST(2 - j AS INTEGER) AS "row", (i + 0.5) * 1000.0 AS x, (j + 0.5) * 1000.0 AS y
+FROM (SELECT k, unnest(range(CAST(floor(x_min / 1000) AS BIGINT), CAST(ceil(x_max / 1000) AS BIGINT))) AS i FROM e), range(3) r(j)""")
+def f19_raster_centres(t: Tables) -> DataFrame:
+    e = t.read("supplier").groupBy(C("s_nationkey").alias("k")).agg(F.min("s_acctbal").alias("x_min"), F.max("s_acctbal").alias("x_max"), F.count("*").alias("n"))
+    e = e.where("n > 1").select("k", "x_min", F.lit(100.0).alias("y_min"), "x_max", F.lit(2500.0).alias("y_max"))
+    return spatial.raster_centres(e, 1000.0).select("k", "row", "x", "y")
+
+
+@query("""SELECT CAST(r AS INTEGER) AS bin, f, f / sqrt(1.1) AS lo, f * sqrt(1.1) AS hi, f * sqrt(1.1) - f / sqrt(1.1) AS width FROM (SELECT r, 0.04118 * pow(1.1, r) AS f FROM range(25) t(r))""")
+def f31_frequency_bins(t: Tables) -> DataFrame:
+    return spatial.frequency_bins(t.spark, 0.04118, 1.1, 25)
+
+
+@query("""SELECT DISTINCT event_type AS kind, CAST(NULL AS VARCHAR) AS unknown, 'SH' AS hemisphere, 'hourly' AS frequency FROM events""")
+def f43_f44_aliases(t: Tables) -> DataFrame:
+    kind = t.read("events").select(C("event_type").alias("kind")).distinct()
+    return kind.select("kind", rel.by_alias(C("kind"), HEMISPHERES).alias("unknown"), rel.by_alias(F.lit(" South "), HEMISPHERES).alias("hemisphere"), rel.by_alias(F.lit("inst"), FREQUENCIES).alias("frequency"))
