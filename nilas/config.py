@@ -40,8 +40,9 @@ def hemisphere(value: str) -> str:
     return canonical(value, HEMISPHERES, "hemisphere")
 
 
-def frequency(value: str) -> str:
-    return canonical(value, FREQUENCIES, "frequency")
+def frequency(value: str | None) -> str:
+    """Daily unless something else is named."""
+    return canonical((value or "daily").replace("_", "-"), FREQUENCIES, "frequency")
 
 
 def threshold_tag(value: float) -> str:
