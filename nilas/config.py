@@ -76,14 +76,27 @@ CORE = ("IA", "IV", "IT", "IP", "IS", "ITVR", "IMVR", "ITAR", "IMAR")
 SPATIAL = ("IHI", "IST", "ITVR_YR", "IMVR_YR", "ITAR_YR", "IMAR_YR")
 REGIONAL = ("IA_by_region", "IT_by_region")
 SUMMARY = tuple(f"I{v}_{s}_{m}" for v in "AT" for s in ("max", "min", "doy_max", "doy_min") for m in ("mean", "std"))
-GROUPS = {"core": CORE, "spatial": SPATIAL, "regional": REGIONAL, "summary": SUMMARY}
+STRESS = tuple(f"IKu{c}_{m}" for c in ("xE", "yE", "xN", "yN", "E_mag", "N_mag") for m in ("mean", "abs_mean", "valid_area_m2"))
+DIAGNOSTICS = (
+    "ice_speed", "rel_ice_ocean_speed", "strain_invariant", "tau_air", "tau_ocean", "tau_internal", "tau_coriolis", "tau_tilt",
+    "ld_x_proxy", "ld_y_proxy", "ld_mag_proxy", "tau_ld_est", "R_ld_budget", "P_ld_est",
+)
+DIAGS = tuple(f"I_{n}_mean" for n in DIAGNOSTICS)
+#: Whole names, of fast ice only.
+STABILITY = ("FIPSI", "persistent_winter_area", "ever_winter_area")
+SKILL = tuple(f"{v}_{s}" for v in ("FIA", "FIT") for s in ("Bias", "RMSE", "MAE", "Corr"))
+GROUPS = {"core": CORE, "spatial": SPATIAL, "regional": REGIONAL, "summary": SUMMARY, "stress": STRESS, "diags": DIAGS}
+SPECIFIC = STABILITY + SKILL
 
 
 def metric_names(names: tuple[str, ...] = (), groups: tuple[str, ...] = (), default: str = "F:core") -> list[str]:
-    """Ordered distinct metric names; a group is 'F:core', 'S:spatial' and so on."""
+    """Ordered distinct metric names; a group is 'F:core', 'S:stress' and so on, 'F:spec' of fast ice only."""
     out: dict[str, None] = dict.fromkeys(names)
     for g in groups or (() if names else (default,)):
         domain, _, group = g.partition(":")
+        if g == "F:spec":
+            out |= dict.fromkeys(SPECIFIC)
+            continue
         if domain not in DOMAINS or group not in GROUPS:
             raise ValueError(f"unknown metric group: {g!r}")
         out |= dict.fromkeys(domain + n for n in GROUPS[group])
@@ -93,7 +106,8 @@ def metric_names(names: tuple[str, ...] = (), groups: tuple[str, ...] = (), defa
 def by_domain(names: list[str]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for n in names:
-        if n[:1] not in DOMAINS:
+        domain = "F" if n in SPECIFIC else n[:1]
+        if domain not in DOMAINS:
             raise ValueError(f"unknown metric domain: {n!r}")
-        out.setdefault(n[0], []).append(n)
+        out.setdefault(domain, []).append(n)
     return out

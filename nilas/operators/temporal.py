@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from nilas.functions.calendar import antarctic_year, noleap_day, season_year
 
+WINTER = (5, 6, 7, 8, 9, 10)
+
 
 def first_max(time: Column, value: Column) -> Column:
     """Aggregate: the first time of the greatest value."""
@@ -70,7 +72,7 @@ def statistics(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return wide.unpivot(keys, ["mean", "max", "min", "p95"], "statistic", "value")
 
 
-def stability(df: DataFrame, mask: str, time: str, cell: str, area: str, months: tuple[int, ...] = (5, 6, 7, 8, 9, 10), limit: float = 0.8) -> DataFrame:
+def stability(df: DataFrame, mask: str, time: str, cell: str, area: str, months: tuple[int, ...] = WINTER, limit: float = 0.8) -> DataFrame:
     """Area that is ice on most winter days, area that ever is, and their ratio."""
     cells = df.where(F.month(time).isin(*months)).groupBy(cell, area).agg(F.avg(F.col(mask).cast("double")).alias("_m"))
     p, e = F.coalesce(F.sum(F.when(F.col("_m") >= limit, F.col(area))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("_m") > 0, F.col(area))), F.lit(0.0))

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nilas.config import FREQUENCIES, HEMISPHERES, Classification
+from nilas.config import DIAGNOSTICS, FREQUENCIES, HEMISPHERES, Classification, metric_names
 from nilas.functions import angles, calendar, physics, units
 from nilas.nulls import ratio, zsum
 from nilas.operators import aggregates as agg
@@ -886,6 +886,70 @@ def metric_catalogue_summary(t: Tables) -> DataFrame:
     return made.select("metric", "value")
 
 
+#: Momentum terms made from the daily table, each with gaps of its own; the days are moved to both sides of May. No narea: the cell's area stands in.
+RATE, TEND = "CAST(rate AS DOUBLE)", "CAST(tend AS DOUBLE)"
+MOMENTUM = {
+    "KuxE": RATE, "KuyE": f"CASE WHEN cell % 3 <> 0 THEN {TEND} END", "KuxN": f"CASE WHEN cell % 5 <> 0 THEN {RATE} / 2 END", "KuyN": f"-{TEND}", "earea": "area * 1.5",
+    "uvel": f"{RATE} / 100", "vvel": TEND, "uocn": f"{RATE} / 200", "vocn": f"CASE WHEN cell % 4 <> 0 THEN {TEND} / 2 END", "divu": TEND, "shear": RATE,
+    "strairx": f"{RATE} * 2", "strairy": f"{TEND} * 3", "strocnx": RATE, "strocny": f"-{TEND}", "strintx": f"{RATE} / 3", "strinty": TEND,
+    "strcorx": TEND, "strcory": RATE, "strtltx": f"{TEND} / 2", "strtlty": f"CASE WHEN cell % 2 = 0 THEN {TEND} END",
+}
+DYNAMICS = f"{DAILY}, dynamics AS (SELECT * REPLACE (CAST(time + INTERVAL 110 DAY AS DATE) AS time), {', '.join(f'{e} AS {n}' for n, e in MOMENTUM.items())} FROM masks)"
+
+
+def dynamics(t: Tables) -> DataFrame:
+    d = classify(fields(t), "raw", Classification(speed=SPEED)).withColumn("time", F.date_add("time", 110))
+    return d.select("*", *[F.expr(e.replace("rate", "dvidtt").replace("tend", "daidtt")).alias(n) for n, e in MOMENTUM.items()])
+
+
+def weighted_sql(terms: dict[str, str]) -> str:
+    """Long rows of aggregates over `terms`, for each domain's mask {m}."""
+    wide = {f"{d}{n}": e.format(m=m) for d, m in M.items() for n, e in terms.items()}
+    return f"ts AS (SELECT time, {', '.join(f'{e} AS {n}' for n, e in wide.items())} FROM terms GROUP BY time) " + " UNION ALL ".join(f"SELECT '{n}' AS metric, time, {n} AS value FROM ts" for n in wide)
+
+
+STRESS_SQL = {
+    f"IKu{c}_{k}": e
+    for c, x, a in (("xE", "KuxE", "earea"), ("yE", "KuyE", "earea"), ("xN", "KuxN", "area"), ("yN", "KuyN", "area"), ("E_mag", "sqrt(KuxE * KuxE + KuyE * KuyE)", "earea"), ("N_mag", "sqrt(KuxN * KuxN + KuyN * KuyN)", "area"))
+    for k, e in (
+        ("mean", f"sum({x} * {a}) FILTER (WHERE {{m}}) / sum({a}) FILTER (WHERE {{m}} AND {x} IS NOT NULL)"),
+        ("abs_mean", f"sum(abs({x}) * {a}) FILTER (WHERE {{m}}) / sum({a}) FILTER (WHERE {{m}} AND {x} IS NOT NULL)"),
+        ("valid_area_m2", f"coalesce(sum({a}) FILTER (WHERE {{m}} AND {x} IS NOT NULL), 0)"),
+    )
+}
+
+
+@query(f"WITH {DYNAMICS}, terms AS (SELECT * FROM dynamics), {weighted_sql(STRESS_SQL)}")
+def metric_catalogue_stress(t: Tables) -> DataFrame:
+    return compute(dynamics(t), metric_names(groups=("F:stress", "P:stress", "S:stress"))).select("metric", "time", "value")
+
+
+TERMS = """proxies AS (SELECT *, (coalesce(KuxE, 0) + coalesce(KuxN, 0)) / nullif((KuxE IS NOT NULL)::INT + (KuxN IS NOT NULL)::INT, 0) AS ld_x_proxy,
+  (coalesce(KuyE, 0) + coalesce(KuyN, 0)) / nullif((KuyE IS NOT NULL)::INT + (KuyN IS NOT NULL)::INT, 0) AS ld_y_proxy, sqrt(strairx ** 2 + strairy ** 2) AS tau_air,
+  sqrt(strocnx ** 2 + strocny ** 2) AS tau_ocean, sqrt(strintx ** 2 + strinty ** 2) AS tau_internal, 917.0::DOUBLE * CAST(hi AS DOUBLE) * CAST(aice AS DOUBLE) AS mass FROM dynamics),
+terms AS (SELECT *, sqrt(uvel ** 2 + vvel ** 2) AS ice_speed, sqrt((uvel - uocn) ** 2 + (vvel - vocn) ** 2) AS rel_ice_ocean_speed, sqrt(divu ** 2 + shear ** 2) AS strain_invariant,
+  sqrt(strcorx ** 2 + strcory ** 2) AS tau_coriolis, sqrt(strtltx ** 2 + strtlty ** 2) AS tau_tilt, sqrt(ld_x_proxy ** 2 + ld_y_proxy ** 2) AS ld_mag_proxy,
+  mass * sqrt(ld_x_proxy ** 2 + ld_y_proxy ** 2) AS tau_ld_est, mass * sqrt(ld_x_proxy ** 2 + ld_y_proxy ** 2) / (tau_air + tau_ocean + tau_internal + 1e-12::DOUBLE) AS R_ld_budget,
+  mass * (ld_x_proxy * uvel + ld_y_proxy * vvel) AS P_ld_est FROM proxies)"""
+
+
+@query(f"WITH {DYNAMICS}, {TERMS}, " + weighted_sql({f"I_{n}_mean": f"sum({n} * area) FILTER (WHERE {{m}}) / sum(area) FILTER (WHERE {{m}} AND {n} IS NOT NULL)" for n in DIAGNOSTICS}))
+def metric_catalogue_diags(t: Tables) -> DataFrame:
+    return compute(dynamics(t), metric_names(groups=("F:diags", "P:diags", "S:diags"))).select("metric", "time", "value")
+
+
+@query(f"""WITH {DYNAMICS}, {TYPED}, cells AS (SELECT cell, area, avg(CASE WHEN fi THEN 1.0::DOUBLE ELSE 0 END) AS p FROM dynamics WHERE month(time) BETWEEN 5 AND 10 GROUP BY 1, 2),
+w AS (SELECT coalesce(sum(area) FILTER (WHERE p >= 0.8), 0) AS persistent, coalesce(sum(area) FILTER (WHERE p > 0), 0) AS ever FROM cells),
+model AS (SELECT time, {METRICS.format(d="F", m="fi", v="fi")} FROM dynamics GROUP BY time), obs AS (SELECT CAST(time + INTERVAL 110 DAY AS DATE) AS time, v / 1e4 AS FIA, CASE WHEN day(time) % 4 <> 0 THEN v / 50 END AS FIT FROM typed WHERE kind = 'view'),
+a AS (SELECT m.FIA AS m, o.FIA AS o FROM model m JOIN obs o USING (time) WHERE m.FIA IS NOT NULL AND o.FIA IS NOT NULL), b AS (SELECT m.FIT AS m, o.FIT AS o FROM model m JOIN obs o USING (time) WHERE m.FIT IS NOT NULL AND o.FIT IS NOT NULL)
+SELECT 'FIPSI' AS metric, persistent / nullif(ever, 0) AS value FROM w UNION ALL SELECT 'persistent_winter_area', persistent / 1e9 FROM w UNION ALL SELECT 'ever_winter_area', ever / 1e9 FROM w
+""" + "".join(f" UNION ALL SELECT '{n}_{k}', {c} FROM (SELECT {SKILL} FROM {s}) q" for n, s in (("FIA", "a"), ("FIT", "b")) for k, c in (("Bias", "bias"), ("RMSE", "rmse"), ("MAE", "mae"), ("Corr", "corr"))))
+def metric_catalogue_specific(t: Tables) -> DataFrame:
+    v = C("v")
+    obs = t.typed("view").select(F.date_add("time", 110).alias("time"), (v / 1e4).alias("FIA"), F.when(F.dayofmonth("time") % 4 != 0, v / 50).alias("FIT"))
+    return compute(dynamics(t), metric_names(groups=("F:spec",)), obs=obs).select("metric", "value")
+
+
 @query(f"""WITH {SERIES}, s AS (SELECT dayofyear(time) AS doy, avg(v) AS v FROM series WHERE day(time) = 15 AND year(time) = 1997 GROUP BY 1), ring AS (SELECT doy + k AS d, v FROM s, (VALUES (0), (-365), (365)) r(k)),
 days AS (SELECT CAST(range AS INTEGER) AS doy FROM range(1, 366)), j AS (SELECT doy, (SELECT max(d) FROM ring WHERE d <= doy) AS a, (SELECT min(d) FROM ring WHERE d >= doy) AS b FROM days)
 SELECT j.doy, CASE WHEN a = b THEN x.v ELSE x.v + (y.v - x.v) * (j.doy - a) / (b - a) END AS v FROM j JOIN ring x ON x.d = a JOIN ring y ON y.d = b""")

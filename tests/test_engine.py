@@ -236,6 +236,47 @@ def test_metrics_of_every_rank(spark):
         compute(classify(cells(spark), "raw"), ["FIA_by_region"])
 
 
+def test_catalogue_has_every_name_of_the_registry(spark):
+    """27 core, 18 spatial, 6 regional, 48 summary, 54 stress, 42 diagnostic, 11 of fast ice."""
+    every = config.metric_names(groups=tuple(f"{d}:{g}" for d in "FPS" for g in config.GROUPS) + ("F:spec",))
+    assert len(every) == 206 and {"SIKuN_mag_valid_area_m2", "PI_R_ld_budget_mean", "FIPSI", "persistent_winter_area", "FIT_Corr"} <= set(every)
+    assert sum(map(len, ranks(every))) == 206 and config.by_domain(["ever_winter_area"]) == {"F": ["ever_winter_area"]}
+    assert needed(["FIKuE_mag_mean", "SI_tau_tilt_mean", "FIT_Bias"]) == ["aice", "KuxE", "KuyE", "earea", "strtltx", "strtlty", "hi"]
+    with pytest.raises(ValueError):
+        config.metric_names(groups=("P:spec",))
+
+
+def test_stress_and_diagnostics_by_hand(spark):
+    df = spark.createDataFrame(
+        [(DAY, 1, True, True, 0.5, 2.0, 3.0, 4.0, 1.0), (DAY, 2, True, True, 1.0, 1.0, -6.0, None, 3.0), (DAY, 3, False, True, 1.0, 1.0, 100.0, 0.0, 1.0)],
+        "time date, cell int, fi boolean, si boolean, aice double, hi double, KuxE double, KuyE double, area double",
+    )
+    names = ["FIKuxE_mean", "FIKuxE_abs_mean", "FIKuE_mag_mean", "FIKuE_mag_valid_area_m2", "SIKuxE_valid_area_m2", "FI_ld_mag_proxy_mean", "FI_tau_ld_est_mean"]
+    got = {r.metric: r.value for r in compute(df, names).collect()}
+    assert got == {"FIKuxE_mean": -15 / 4, "FIKuxE_abs_mean": 21 / 4, "FIKuE_mag_mean": 5.0, "FIKuE_mag_valid_area_m2": 1.0, "SIKuxE_valid_area_m2": 5.0, "FI_ld_mag_proxy_mean": 5.0, "FI_tau_ld_est_mean": 917 * 5.0}
+    wide = df.withColumn("earea", F.lit(2.0))
+    assert one(compute(wide, ["SIKuxE_valid_area_m2"]).select("value")) == 6.0
+    alone = {r.metric: r.value for r in compute(df.drop("KuyE"), ["FI_ld_mag_proxy_mean"]).collect()}
+    assert alone == {"FI_ld_mag_proxy_mean": (3 + 18) / 4}
+    for missing in ("FIKuxN_mean", "FI_tau_air_mean", "FI_P_ld_est_mean"):
+        with pytest.raises(ValueError, match="aren't there"):
+            compute(df, [missing])
+
+
+def test_stability_and_skill_in_the_catalogue(spark):
+    rows = [(date(2000, 6, d), c, (c == 1 and d <= 4) or (c == 2 and d <= 3), 1.0, 1.0, 1e9 * c) for d in range(1, 6) for c in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "time date, cell int, fi boolean, aice double, hi double, area double")
+    got = {r.metric: r.value for r in compute(df, list(config.STABILITY)).collect()}
+    assert got == {"FIPSI": pytest.approx(1 / 3), "persistent_winter_area": 1.0, "ever_winter_area": 3.0}
+    summer = df.withColumn("time", F.date_add("time", 180))
+    assert [r.value for r in compute(summer, list(config.STABILITY)).collect()] == [None, None, None]
+    obs = spark.createDataFrame([(date(2000, 6, 1), 2.0), (date(2000, 6, 4), 4.0), (date(2001, 1, 1), 9.0)], "time date, FIA double")
+    got = {r.metric: r.value for r in compute(df, ["FIA_Bias", "FIA_RMSE", "FIA_MAE", "FIA_Corr"], obs=obs).collect()}
+    assert got == {"FIA_Bias": -1.0, "FIA_RMSE": pytest.approx(5**0.5), "FIA_MAE": 2.0, "FIA_Corr": pytest.approx(-1.0)}
+    with pytest.raises(ValueError, match="observations"):
+        compute(df, ["FIT_Bias"], obs=obs)
+
+
 # --- tables
 
 
