@@ -11,6 +11,8 @@ FREQUENCIES = {
     "d": "daily", "day": "daily", "days": "daily", "daily": "daily", "h": "hourly", "hour": "hourly", "hours": "hourly", "hourly": "hourly",
     "inst": "hourly", "instantaneous": "hourly",
 }
+#: How the partitions of stores are named, by frequency.
+STORES = {"daily": "%Y-%m", "hourly": "%Y_%m_%d"}
 
 #: The named longitude and latitude boxes, edges included.
 REGIONS = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nilas import config
 from nilas.operators import relational as rel
 
 
@@ -19,7 +20,7 @@ def ingest(df: DataFrame, root: str, *, frequency: str = "daily", shift_days: in
 
     Only the groups at hand are replaced.
     """
-    if frequency == "daily":
+    if config.frequency(frequency) == "daily":
         df = df.withColumn("time", F.col("time") - F.make_dt_interval(days=F.lit(shift_days))).withColumn("ym", F.date_format("time", "yyyy-MM"))
     else:
         df = df.withColumn("ym", F.date_format("time", "yyyy_MM_dd"))

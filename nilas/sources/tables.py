@@ -28,12 +28,16 @@ def history(
     hemisphere: str | None = None,
     pad_days: int = 0,
 ) -> DataFrame:
-    """Rows of whole days; partitions `ym` outside the days are never read. A grid is joined by its cell, then cut to a hemisphere."""
-    config.frequency(frequency)
+    """Rows of whole days; partitions `ym` of the frequency's months or days that are outside are never read, those of another frequency are.
+
+    A grid is joined by its cell, then cut to a hemisphere.
+    """
+    form = config.STORES[config.frequency(frequency)]
     a, b = first - timedelta(days=pad_days), last + timedelta(days=pad_days)
     df = spark.read.parquet(root)
     if "ym" in df.columns:
-        df = df.where(F.col("ym").between(f"{a:%Y-%m}", f"{b:%Y-%m}"))
+        ym, lo, hi = F.col("ym").cast("string"), a.strftime(form), b.strftime(form)
+        df = df.where(F.col("ym").isNotNull() & (ym.between(lo, hi) | (F.length(ym) != len(lo))))
     df = nan_to_null(df.where(pred.in_days(F.col("time"), a, b)))
     if columns is not None:
         df = df.select(*[c for c in df.columns if c in {"time", "nj", "ni", "cell", "sim", *columns}])

@@ -292,6 +292,20 @@ def test_ingest_shifts_and_replaces_months(spark, tmp_path):
     assert sources.history(spark, root, date(2000, 2, 1), date(2000, 2, 28), pad_days=1).count() == 2
 
 
+@pytest.mark.parametrize("frequency", ["hourly", "inst"])
+def test_hourly_store_round_trip(spark, tmp_path, frequency):
+    root = str(tmp_path / "hourly")
+    df = spark.createDataFrame([(datetime(y, m, d, h), 1, float(h)) for y, m, d in ((1999, 12, 31), (2000, 1, 1), (2000, 1, 2), (2000, 3, 5)) for h in (0, 23)], "time timestamp_ntz, cell int, aice float")
+    sinks.ingest(df, root, frequency=frequency)
+    for first, last, n in ((date(2000, 1, 1), date(2000, 1, 1), 2), (date(2000, 1, 2), date(2000, 3, 5), 4), (date(1999, 12, 31), date(2000, 1, 1), 4), (date(1999, 1, 1), date(2000, 12, 31), 8)):
+        got = sources.history(spark, root, first, last, frequency=frequency)
+        assert got.count() == n == sources.history(spark, root, first, last).count()
+    read = sources.history(spark, root, date(2000, 1, 1), date(2000, 1, 2), frequency=frequency)
+    assert len(read.select(F.input_file_name()).distinct().collect()) == 2
+    files = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ym" in files and "2000_01_01" in files
+
+
 def test_classification_and_metric_stores(spark, tmp_path):
     df = classify(cells(spark), "raw")
     root = str(tmp_path / "classified")
