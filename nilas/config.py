@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 METHODS = {"raw": "raw", "binary-days": "binary-days", "binary_days": "binary-days", "rolling-mean": "rolling-mean", "rolling_mean": "rolling-mean"}
@@ -11,6 +12,9 @@ FREQUENCIES = {
     "d": "daily", "day": "daily", "days": "daily", "daily": "daily", "h": "hourly", "hour": "hourly", "hours": "hourly", "hourly": "hourly",
     "inst": "hourly", "instantaneous": "hourly",
 }
+#: B grid with missing corners kept, B grid with them as 0, by a regridder, and C grid.
+GRID_TYPES = ("Ta", "Tb", "Tx", "Tc")
+
 #: How the partitions of stores are named, by frequency.
 STORES = {"daily": "%Y-%m", "hourly": "%Y_%m_%d"}
 
@@ -47,6 +51,17 @@ def frequency(value: str | None) -> str:
     return canonical((value or "daily").replace("_", "-"), FREQUENCIES, "frequency")
 
 
+def grid_types(value: str | Iterable[str] | None) -> tuple[str, ...]:
+    """Ways to bring velocities to cell centres, distinct and in order; Tc unless something is named, and only alone."""
+    tokens = value.replace(",", " ").split() if isinstance(value, str) else [str(v).strip() for v in value or ()]
+    out = tuple(dict.fromkeys(t[0].upper() + t[1:] for t in tokens if t)) or ("Tc",)
+    if unknown := [t for t in out if t not in GRID_TYPES]:
+        raise ValueError(f"unknown grid type: {unknown[0]!r}")
+    if "Tc" in out and len(out) > 1:
+        raise ValueError("grid type Tc can't be joined with others")
+    return out
+
+
 def threshold_tag(value: float) -> str:
     """5e-4 as '5.0e-4'."""
     mantissa, power = f"{value:.1e}".split("e")

@@ -6,11 +6,14 @@ time), so no partition grows with more than one cell's history.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nilas import config
+from nilas.functions import physics
 from nilas.nulls import clip
 
 
@@ -49,29 +52,82 @@ def circular_smooth(df: DataFrame, day: str, value: str, size: int, length: int
     return ring.withColumn("smooth", F.avg(value).over(around)).where(F.col("_at") == F.col(day)).drop("_at")
 
 
-def corner_to_centre(df: DataFrame, value: str, keys: list[str], j: str = "nj", i: str = "ni", wrap: bool = True) -> DataFrame:
-    """Mean of the 2 x 2 corners of each cell. Adds `centre`: NULL on the last row, the first column's on the last column."""
+def last_as_first(df: DataFrame, columns: list[str], keys: list[str], j: str = "nj", i: str = "ni") -> DataFrame:
+    """The first column's values on the last column."""
+    along = Window.partitionBy(*keys, j).orderBy(i)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.row_number().over(along) == F.count("*").over(Window.partitionBy(*keys, j))
+    return df.withColumns({c: F.when(last, F.first(c).over(whole)).otherwise(F.col(c)) for c in columns})
+
+
+def corner_to_centre(df: DataFrame, value: str, keys: list[str], j: str = "nj", i: str = "ni", wrap: bool = True, zero: bool = False) -> DataFrame:
+    """Mean of the 2 x 2 corners of each cell. Adds `centre`: NULL on the last row, the first column's on the last column.
+
+    Beside a missing corner it is NULL, or with `zero` that corner counts as 0.
+    """
     along, up = Window.partitionBy(*keys, j).orderBy(i), Window.partitionBy(*keys, i).orderBy(j)
-    out = df.withColumn("_e", F.lead(value).over(along)).withColumns({"_n": F.lead(value).over(up), "_ne": F.lead("_e").over(up)})
-    out = out.withColumn("centre", (F.col(value) + F.col("_e") + F.col("_n") + F.col("_ne")) / 4)
-    if wrap:
-        whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        last = F.row_number().over(along) == F.count("*").over(Window.partitionBy(*keys, j))
-        out = out.withColumn("_first", F.first("centre").over(whole)).withColumn("centre", F.when(last, F.col("_first")).otherwise(F.col("centre")))
-        out = out.drop("_first")
-    return out.drop("_e", "_n", "_ne")
+    v = F.coalesce(F.col(value), F.lit(0.0)) if zero else F.col(value)
+    out = df.withColumn("_e", F.lead(v).over(along)).withColumns({"_n": F.lead(v).over(up), "_ne": F.lead("_e").over(up)})
+    out = out.withColumn("centre", (v + F.col("_e") + F.col("_n") + F.col("_ne")) / 4).drop("_e", "_n", "_ne")
+    return last_as_first(out, ["centre"], keys, j, i) if wrap else out
 
 
-def edge_to_centre(df: DataFrame, value: str, keys: list[str], direction: str, j: str = "nj", i: str = "ni") -> Column:
-    """Mean of a cell's two edges: cyclic in x, NULL on the last row in y."""
-    if direction == "x":
-        along = Window.partitionBy(*keys, j).orderBy(i)
+def edge_to_centre(df: DataFrame, value: str, keys: list[str], direction: str, j: str = "nj", i: str = "ni", wrap: bool = True, zero: bool = False) -> Column:
+    """Mean of a cell's two edges: cyclic in x unless `wrap` is off, NULL on the last row in y. With `zero` a missing edge counts as 0."""
+    v = F.coalesce(F.col(value), F.lit(0.0)) if zero else F.col(value)
+    along = Window.partitionBy(*keys, j).orderBy(i)
+    if direction == "x" and wrap:
         whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         last = F.row_number().over(along) == F.count("*").over(Window.partitionBy(*keys, j))
-        after = F.when(last, F.first(value).over(whole)).otherwise(F.lead(value).over(along))
+        after = F.when(last, F.first(v).over(whole)).otherwise(F.lead(v).over(along))
     else:
-        after = F.lead(value).over(Window.partitionBy(*keys, i).orderBy(j))
-    return (F.col(value) + after) / 2
+        after = F.lead(v).over(along if direction == "x" else Window.partitionBy(*keys, i).orderBy(j))
+    return (v + after) / 2
+
+
+def c_to_t(df: DataFrame, keys: list[str], names: tuple[str, str, str, str], combine: str = "mean", j: str = "nj", i: str = "ni", wrap: bool = True, zero: bool = True) -> DataFrame:
+    """Adds `east` and `north` at the centres from uvelE, uvelN (averaged in x) and vvelE, vvelN (in y).
+
+    'uv' takes uvelE and vvelN, 'mean' both families of edges.
+    """
+    if combine not in ("mean", "uv"):
+        raise ValueError(f"unknown way to combine edges: {combine!r}")
+    made = {f"_c{n}": edge_to_centre(df, c, keys, d, j, i, wrap, zero).cast("float") for n, (c, d) in enumerate(zip(names, "xxyy", strict=True))}
+    out = df.withColumns(made)
+    out = last_as_first(out, list(made), keys, j, i) if wrap else out
+    ue, un, ve, vn = map(F.col, made)
+    pair = (ue, vn) if combine == "uv" else ((ue + ve) / 2, (un + vn) / 2)
+    return out.withColumns({"east": pair[0].cast("float"), "north": pair[1].cast("float")}).drop(*made)
+
+
+def centre_speed(
+    df: DataFrame, keys: list[str], grid_type: str | Iterable[str] | None = None, *, u: str = "uvel", v: str = "vvel",
+    edges: tuple[str, str, str, str] = ("uvelE", "uvelN", "vvelE", "vvelN"), combine: str = "mean",
+    regrid: Callable[[DataFrame, str], DataFrame] | None = None, j: str = "nj", i: str = "ni", wrap: bool = True,
+) -> DataFrame:
+    """Adds `speed` at the cell centres by one or more grid types; of several, the mean of those that are known.
+
+    regrid: for Tx, makes keys, j, i and the named column at the centres from such a table of the B grid, missing values being 0.
+    """
+    chosen = config.grid_types(grid_type)
+    needs = edges if "Tc" in chosen else (u, v)
+    if missing := [c for c in needs if c not in df.columns]:
+        raise KeyError(f"{', '.join(chosen)} needs columns that aren't there: {missing}")
+    if "Tc" in chosen:
+        out = c_to_t(df, keys, edges, combine, j, i, wrap)
+        return out.withColumn("speed", physics.speed(F.col("east"), F.col("north"))).drop("east", "north")
+    if "Tx" in chosen and regrid is None:
+        raise NotImplementedError("Tx needs a regridder")
+    out, speeds = df, []
+    for t in chosen:
+        for c, at in ((u, f"_{t}u"), (v, f"_{t}v")):
+            if t == "Tx":
+                made = regrid(df.select(*keys, j, i, F.coalesce(F.col(c), F.lit(0.0)).alias(c)), c)
+                out = out.join(made.select(*keys, j, i, F.col(c).cast("float").alias(at)), [*keys, j, i], "left")
+            else:
+                out = corner_to_centre(out, c, keys, j, i, wrap, zero=t == "Tb").withColumn(at, F.col("centre").cast("float")).drop("centre")
+        speeds.append(physics.speed(F.col(f"_{t}u"), F.col(f"_{t}v")))
+    return out.withColumn("speed", (physics.mean_of_known(*speeds) if len(speeds) > 1 else speeds[0]).cast("float")).drop(*[f"_{t}{c}" for t in chosen for c in "uv"])
 
 
 def edges(centre: str, keys: list[str], bounds: tuple[float, float] | None = None) -> tuple[Column, Column]:

@@ -566,6 +566,28 @@ def g01_f01_centre_speed(t: Tables) -> DataFrame:
     return c.select("nj", "ni", physics.speed(C("a"), C("b")).alias("speed"))
 
 
+#: The staggered grid with land, and each cell's four corners; the last column takes the first one's.
+COAST = f"""{STAGGERED}, land AS (SELECT nj, ni, CASE WHEN (nj * 5 + ni * 3) % 7 <> 0 THEN u END AS u, CASE WHEN (nj * 5 + ni * 3) % 7 <> 0 THEN v END AS v,
+  CASE WHEN (nj + ni) % 6 <> 0 THEN v / 2 END AS un, CASE WHEN (nj + ni) % 6 <> 0 THEN u / 2 END AS ve FROM staggered),
+z AS (SELECT nj, ni, u, v, {', '.join(f'coalesce({c}, 0) AS z{c}' for c in ('u', 'v', 'un', 've'))} FROM land),
+four AS (SELECT s.nj, s.ni, s.zu AS own_u, s.zv AS own_v, {', '.join(f'{t}.{c} AS {t}_{c}' for t in ('a', 'e', 'n', 'ne') for c in ('u', 'v', 'zu', 'zv', 'zun', 'zve'))} FROM z s JOIN z a ON a.nj = s.nj AND a.ni = s.ni % 11
+  LEFT JOIN z e ON e.nj = a.nj AND e.ni = a.ni + 1 LEFT JOIN z n ON n.nj = a.nj + 1 AND n.ni = a.ni LEFT JOIN z ne ON ne.nj = a.nj + 1 AND ne.ni = a.ni + 1),
+parts AS (SELECT nj, ni, own_u AS xu, own_v AS xv, {', '.join(f'CAST((a_{z}{c} + e_{z}{c} + n_{z}{c} + ne_{z}{c}) / 4 AS REAL)::DOUBLE AS {k}{c}' for k, z in (('a', ''), ('b', 'z')) for c in 'uv')},
+  CAST((a_zu + e_zu) / 2 AS REAL)::DOUBLE AS ue, CAST((a_zun + e_zun) / 2 AS REAL)::DOUBLE AS un, CAST((a_zve + n_zve) / 2 AS REAL)::DOUBLE AS ve, CAST((a_zv + n_zv) / 2 AS REAL)::DOUBLE AS vn FROM four),
+speeds AS (SELECT nj, ni, {', '.join(f'sqrt({k}u * {k}u + {k}v * {k}v) AS t{k}' for k in 'abx')}, sqrt(((ue + ve) / 2) ** 2 + ((un + vn) / 2) ** 2) AS mean, sqrt(ue * ue + vn * vn) AS uv FROM parts)"""
+CHOICES = {"Ta": "ta", "Tb": "tb", "Ta Tb": "CASE WHEN ta IS NULL THEN tb ELSE (ta + tb) / 2 END", "tb,Tx": "CASE WHEN tb IS NULL THEN tx ELSE (tb + tx) / 2 END", "Tc": "mean", "Tc uv": "uv"}
+
+
+@query(f"WITH {COAST} " + " UNION ALL ".join(f"SELECT '{n}' AS chosen, nj, ni, CAST({e} AS REAL) AS speed FROM speeds" for n, e in CHOICES.items()))
+def g01_g02_g03_grid_types(t: Tables) -> DataFrame:
+    land, thin = (C("nj") * 5 + C("ni") * 3) % 7 != 0, (C("nj") + C("ni")) % 6 != 0
+    s = t.staggered()
+    s = s.select("nj", "ni", F.when(land, C("u")).alias("uvel"), F.when(land, C("v")).alias("vvel"), F.when(thin, C("v") / 2).alias("uvelN"), F.when(thin, C("u") / 2).alias("vvelE"))
+    s = s.withColumns({"uvelE": C("uvel"), "vvelN": C("vvel")})
+    made = {n: windows.centre_speed(s, [], n.removesuffix(" uv"), combine="uv" if n.endswith(" uv") else "mean", regrid=lambda b, c: b) for n in CHOICES}
+    return rel.stack({n: d.select("nj", "ni", "speed") for n, d in made.items()}, "chosen").select("chosen", "nj", "ni", "speed")
+
+
 @query("""WITH x AS (SELECT s_nationkey AS k, CAST(s_suppkey AS DOUBLE) AS lat FROM supplier), e AS (SELECT *, lag(lat) OVER w AS b, lead(lat) OVER w AS a FROM x WINDOW w AS (PARTITION BY k ORDER BY lat))
 SELECT k, lat, CASE WHEN coalesce(a, b) IS NOT NULL THEN least(greatest(coalesce((lat + b) / 2, lat - (a - lat) / 2), -90), 90) END AS lo,
   CASE WHEN coalesce(a, b) IS NOT NULL THEN least(greatest(coalesce((lat + a) / 2, lat + (lat - b) / 2), -90), 90) END AS hi,

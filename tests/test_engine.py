@@ -113,6 +113,28 @@ def test_staggered_grids(spark):
     assert e[(1, 1)] == 11.5 and e[(1, 3)] == (13 + 10) / 2
 
 
+def test_speed_beside_land(spark):
+    """3 x 3 cells, one missing corner at (0, 0): kept by Ta, 0 for Tb and Tc."""
+    rows = [(j, i, None if j == i == 0 else 3.0, None if j == i == 0 else 4.0, 1.0, None if (j, i) == (1, 0) else 2.0) for j in range(3) for i in range(3)]
+    df = spark.createDataFrame(rows, "nj int, ni int, uvel double, vvel double, uvelN double, vvelE double").withColumns({"uvelE": F.col("uvel"), "vvelN": F.col("vvel")})
+
+    def speed(*a, **b):
+        return {(r.nj, r.ni): r.speed for r in windows.centre_speed(df, [], *a, **b).collect()}
+
+    a, b = speed("Ta"), speed("tb")
+    assert a[(0, 0)] is None and a[(0, 2)] is None and a[(0, 1)] == 5.0 and a[(2, 1)] is None
+    assert b[(0, 0)] == b[(0, 2)] == 3.75 and b[(1, 1)] == 5.0 and b[(2, 1)] is None
+    assert speed("Ta, Tb")[(0, 0)] == 3.75 and speed("Tb Tx", regrid=lambda t, c: t)[(0, 0)] == 3.75 / 2
+    assert speed(combine="uv")[(0, 0)] == pytest.approx((1.5**2 + 2**2) ** 0.5)
+    assert speed()[(0, 0)] == pytest.approx((((1.5 + 1) / 2) ** 2 + ((1 + 2) / 2) ** 2) ** 0.5)
+    assert config.grid_types(None) == ("Tc",) and config.grid_types("ta, Tb ta") == ("Ta", "Tb") and config.grid_types(["tx"]) == ("Tx",)
+    for bad, error in ((("Tc Ta",), ValueError), (("Td",), ValueError), (("Tx",), NotImplementedError)):
+        with pytest.raises(error):
+            speed(*bad)
+    with pytest.raises(KeyError):
+        windows.centre_speed(df.drop("vvelE"), [])
+
+
 # --- time
 
 
