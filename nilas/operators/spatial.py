@@ -33,6 +33,40 @@ def neighbours(targets: DataFrame, sources: DataFrame, k: int, radius_km: float)
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def nearest(targets: DataFrame, sources: DataFrame, levels: tuple[int, ...] = (2, 4, 6, 8, 10)) -> DataFrame:
+    """The nearest source of each target however far it is, ties to the smaller id: tgt_id, src_id, km.
+
+    targets: tgt_id, lon, lat; sources: src_id, lon, lat; points without a place
+    have no row. Sources lie in cubes of 2 / 2^level around the globe. From the
+    widest cubes down, a target keeps those that aren't farther than some other
+    is at most and meets their children by key, and at last the sources in them.
+    """
+
+    def placed(df: DataFrame, key: str, prefix: str) -> DataFrame:
+        return df.select(key, *[v.alias(f"{prefix}{c}") for c, v in zip("xyz", unit_xyz(F.col("lon"), F.col("lat")), strict=True)]).dropna()
+
+    t = placed(targets, "tgt_id", "t")
+    s = placed(sources, "src_id", "s").groupBy("sx", "sy", "sz").agg(F.min("src_id").alias("src_id"))
+    at = lambda level: [F.floor((F.col(f"s{c}") + 1) * (2.0 ** (level - 1))).cast("int").alias(f"c{c}") for c in "xyz"]
+
+    def kept(df: DataFrame, level: int) -> DataFrame:
+        width = 2.0 ** (1 - level)
+        low = {c: F.col(f"c{c}") * width - 1 for c in "xyz"}
+        near = sum((F.pow(F.greatest(low[c] - F.col(f"t{c}"), F.col(f"t{c}") - low[c] - width, F.lit(0.0)), F.lit(2.0)) for c in "xyz"), F.lit(0.0))
+        far = sum((F.pow(F.greatest(F.abs(F.col(f"t{c}") - low[c]), F.abs(F.col(f"t{c}") - low[c] - width)), F.lit(2.0)) for c in "xyz"), F.lit(0.0))
+        df = df.withColumns({"_near": near, "_far": far}).withColumn("_least", F.min("_far").over(Window.partitionBy("tgt_id")))
+        return df.where(F.col("_near") <= F.col("_least") + 1e-9).drop("_near", "_far", "_least")
+
+    met = kept(t.crossJoin(F.broadcast(s.select(*at(levels[0])).distinct())), levels[0])  # few cubes at the first level
+    for above, level in zip(levels, levels[1:], strict=False):
+        cubes = s.select(*at(level)).distinct().select("*", *[F.shiftright(f"c{c}", level - above).alias(f"p{c}") for c in "xyz"])
+        parents = met.withColumnsRenamed({f"c{c}": f"p{c}" for c in "xyz"})
+        met = kept(parents.join(cubes, ["px", "py", "pz"]).drop("px", "py", "pz"), level)
+    chord = F.sqrt(sum(((F.col(f"t{c}") - F.col(f"s{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    pairs = met.join(s.select("*", *at(levels[-1])), ["cx", "cy", "cz"]).select("tgt_id", F.struct(chord_km(chord).alias("km"), "src_id").alias("_best"))
+    return pairs.groupBy("tgt_id").agg(F.min("_best").alias("_best")).select("tgt_id", "_best.src_id", "_best.km")
+
+
 def inverse_distance_weights(near: DataFrame, power: float, exact_km: float = 1e-9) -> DataFrame:
     """Weights that sum to one per target; a source at the target takes all."""
     mine = Window.partitionBy("tgt_id")

@@ -200,6 +200,11 @@ def j15_g07_nearest_one(t: Tables) -> DataFrame:
     return near_stations(t, 1).select("tgt_id", F.round("km", 6).alias("km"))
 
 
+@query(f"WITH {NEAR} SELECT tgt_id, round(min(km), 6) AS km FROM pairs GROUP BY tgt_id")
+def j15_g07_nearest_at_any_distance(t: Tables) -> DataFrame:
+    return spatial.nearest(t.targets(), t.stations().drop("value")).select("tgt_id", F.round("km", 6).alias("km"))
+
+
 @query(f"""WITH {NEAR}, w AS (SELECT tgt_id, src_id, CASE WHEN max(CASE WHEN km <= 1e-9 THEN 1 ELSE 0 END) OVER p = 1 THEN CASE WHEN km <= 1e-9 AND rank = 1 THEN 1.0 ELSE 0.0 END
   ELSE pow(greatest(km, 1e-9), -2.5) END AS w FROM near WHERE rank <= 5 WINDOW p AS (PARTITION BY tgt_id)), n AS (SELECT *, w / sum(w) OVER (PARTITION BY tgt_id) AS share FROM w)
 SELECT tgt_id, round(sum(share), 9) AS weight, count(*) FILTER (WHERE share > 0) AS n FROM n GROUP BY tgt_id""")

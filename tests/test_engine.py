@@ -187,6 +187,22 @@ def test_neighbours_equal_brute_force(spark):
     assert all(r.v == pytest.approx(4.0) for r in spatial.apply_weights(field, w, [], "v").collect())
 
 
+def test_nearest_has_no_radius(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    xyz = lambda x, y: (math.cos(math.radians(y)) * math.cos(math.radians(x)), math.cos(math.radians(y)) * math.sin(math.radians(x)), math.sin(math.radians(y)))
+    tgt = [(i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(120)] + [(120, 0.0, 90.0), (121, 180.0, -80.0), (122, None, 0.0)]
+    tight, wide = [(i, rng.gauss(10, 0.2), rng.gauss(-75, 0.1)) for i in range(150)], [(i, rng.uniform(-180, 180), rng.uniform(-90, -50)) for i in range(40)]
+    for src in (tight, wide, wide + [(i + 40, x, y) for i, x, y in wide], [(7, 1.0, 1.0)]):
+        got = {r.tgt_id: (r.src_id, r.km) for r in spatial.nearest(spark.createDataFrame(tgt, "tgt_id int, lon double, lat double"), spark.createDataFrame(src, "src_id int, lon double, lat double")).collect()}
+        assert set(got) == set(range(122))
+        for i, *p in tgt[:122]:
+            d, j = min((2 * 6371 * math.asin(min(1, math.dist(xyz(*p), xyz(*q)) / 2)), j) for j, *q in src)
+            assert got[i] == (j, pytest.approx(d))
+
+
 def test_clipped_lines_keep_their_length(spark):
     df = spark.createDataFrame([(0.5, 0.5, 9.5, 4.5), (3.0, 1.0, 3.0, 7.5), (2.0, 2.0, 2.0, 2.0), (-4.0, 1.0, 4.0, 1.0)], "x0 double, y0 double, x1 double, y1 double")
     r = spatial.line_density(df, 2.0).agg(F.sum("fx") * 2, F.sum("fy") * 2).first()
