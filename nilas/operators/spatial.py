@@ -33,37 +33,42 @@ def neighbours(targets: DataFrame, sources: DataFrame, k: int, radius_km: float)
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def nearest(targets: DataFrame, sources: DataFrame, levels: tuple[int, ...] = (2, 4, 6, 8, 10)) -> DataFrame:
+def candidates(targets: DataFrame, sources: DataFrame, dims: tuple[str, ...], widths: tuple[float, ...]) -> DataFrame:
+    """Each target (tgt_id, t + dims) with the sources (s + dims and more) that can be its nearest, however far; each width is a quarter of the one before.
+
+    Sources lie in cubes. From the widest down, a target keeps those that aren't
+    farther than some other is at most and meets their children by key, and at
+    last the sources in them.
+    """
+    at = lambda width: [F.floor(F.col(f"s{c}") / width).cast("int").alias(f"c{c}") for c in dims]
+
+    def kept(df: DataFrame, width: float) -> DataFrame:
+        low = {c: F.col(f"c{c}") * width for c in dims}
+        near = sum((F.pow(F.greatest(low[c] - F.col(f"t{c}"), F.col(f"t{c}") - low[c] - width, F.lit(0.0)), F.lit(2.0)) for c in dims), F.lit(0.0))
+        far = sum((F.pow(F.greatest(F.abs(F.col(f"t{c}") - low[c]), F.abs(F.col(f"t{c}") - low[c] - width)), F.lit(2.0)) for c in dims), F.lit(0.0))
+        df = df.withColumns({"_near": near, "_far": far}).withColumn("_least", F.min("_far").over(Window.partitionBy("tgt_id")))
+        return df.where(F.col("_near") <= F.col("_least") * (1 + 1e-9) + 1e-9).drop("_near", "_far", "_least")
+
+    met = kept(targets.crossJoin(F.broadcast(sources.select(*at(widths[0])).distinct())), widths[0])  # few cubes of the greatest width
+    for width in widths[1:]:
+        cubes = sources.select(*at(width)).distinct().select("*", *[F.shiftright(f"c{c}", 2).alias(f"p{c}") for c in dims])
+        parents = met.withColumnsRenamed({f"c{c}": f"p{c}" for c in dims})
+        met = kept(parents.join(cubes, [f"p{c}" for c in dims]).drop(*[f"p{c}" for c in dims]), width)
+    return met.join(sources.select("*", *at(widths[-1])), [f"c{c}" for c in dims]).drop(*[f"c{c}" for c in dims])
+
+
+def nearest(targets: DataFrame, sources: DataFrame, widths: tuple[float, ...] = tuple(2.0**-n for n in (1, 3, 5, 7, 9))) -> DataFrame:
     """The nearest source of each target however far it is, ties to the smaller id: tgt_id, src_id, km.
 
-    targets: tgt_id, lon, lat; sources: src_id, lon, lat; points without a place
-    have no row. Sources lie in cubes of 2 / 2^level around the globe. From the
-    widest cubes down, a target keeps those that aren't farther than some other
-    is at most and meets their children by key, and at last the sources in them.
+    targets: tgt_id, lon, lat; sources: src_id, lon, lat; points without a place have no row.
     """
 
     def placed(df: DataFrame, key: str, prefix: str) -> DataFrame:
         return df.select(key, *[v.alias(f"{prefix}{c}") for c, v in zip("xyz", unit_xyz(F.col("lon"), F.col("lat")), strict=True)]).dropna()
 
-    t = placed(targets, "tgt_id", "t")
     s = placed(sources, "src_id", "s").groupBy("sx", "sy", "sz").agg(F.min("src_id").alias("src_id"))
-    at = lambda level: [F.floor((F.col(f"s{c}") + 1) * (2.0 ** (level - 1))).cast("int").alias(f"c{c}") for c in "xyz"]
-
-    def kept(df: DataFrame, level: int) -> DataFrame:
-        width = 2.0 ** (1 - level)
-        low = {c: F.col(f"c{c}") * width - 1 for c in "xyz"}
-        near = sum((F.pow(F.greatest(low[c] - F.col(f"t{c}"), F.col(f"t{c}") - low[c] - width, F.lit(0.0)), F.lit(2.0)) for c in "xyz"), F.lit(0.0))
-        far = sum((F.pow(F.greatest(F.abs(F.col(f"t{c}") - low[c]), F.abs(F.col(f"t{c}") - low[c] - width)), F.lit(2.0)) for c in "xyz"), F.lit(0.0))
-        df = df.withColumns({"_near": near, "_far": far}).withColumn("_least", F.min("_far").over(Window.partitionBy("tgt_id")))
-        return df.where(F.col("_near") <= F.col("_least") + 1e-9).drop("_near", "_far", "_least")
-
-    met = kept(t.crossJoin(F.broadcast(s.select(*at(levels[0])).distinct())), levels[0])  # few cubes at the first level
-    for above, level in zip(levels, levels[1:], strict=False):
-        cubes = s.select(*at(level)).distinct().select("*", *[F.shiftright(f"c{c}", level - above).alias(f"p{c}") for c in "xyz"])
-        parents = met.withColumnsRenamed({f"c{c}": f"p{c}" for c in "xyz"})
-        met = kept(parents.join(cubes, ["px", "py", "pz"]).drop("px", "py", "pz"), level)
     chord = F.sqrt(sum(((F.col(f"t{c}") - F.col(f"s{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
-    pairs = met.join(s.select("*", *at(levels[-1])), ["cx", "cy", "cz"]).select("tgt_id", F.struct(chord_km(chord).alias("km"), "src_id").alias("_best"))
+    pairs = candidates(placed(targets, "tgt_id", "t"), s, ("x", "y", "z"), widths).select("tgt_id", F.struct(chord_km(chord).alias("km"), "src_id").alias("_best"))
     return pairs.groupBy("tgt_id").agg(F.min("_best").alias("_best")).select("tgt_id", "_best.src_id", "_best.km")
 
 
@@ -157,14 +162,28 @@ def line_parts(vertices: Column) -> Column:
     )
 
 
-def bilinear(targets: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """targets: keys, y, x in steps of the source's grid; source: j, i, value. Each target meets its four corners by key."""
+def bilinear(targets: DataFrame, source: DataFrame, keys: list[str], extrapolate: bool = True) -> DataFrame:
+    """targets: keys, y, x in steps of the source's grid; source: j, i, value. Each target meets its four corners by key.
+
+    A target outside the grid, or with a corner that is missing or NULL, takes
+    the nearest known cell's value (ties to the smaller j, then i), or NULL
+    without `extrapolate`. One without a place is NULL.
+    """
     fy, fx = F.col("y") - F.floor("y"), F.col("x") - F.floor("x")
     corner = lambda dj, di, w: F.struct((F.floor("y") + dj).cast("int").alias("sj"), (F.floor("x") + di).cast("int").alias("si"), w.alias("w"))
     corners = F.array(corner(0, 0, (1 - fy) * (1 - fx)), corner(0, 1, (1 - fy) * fx), corner(1, 0, fy * (1 - fx)), corner(1, 1, fy * fx))
-    asked = targets.select(*keys, F.inline(corners)).where("w > 0")
-    grid = source.select(F.col("j").alias("sj"), F.col("i").alias("si"), "value")
-    return asked.join(grid, ["sj", "si"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    asked = targets.select(*keys, "y", "x", F.inline(corners)).where("w > 0 OR w IS NULL")
+    grid = source.select(F.col("j").alias("sj"), F.col("i").alias("si"), F.col("value").cast("double").alias("value"))
+    made = asked.join(grid, ["sj", "si"], "left").groupBy(*keys, "y", "x").agg(F.when(F.count("value") == F.count("*"), F.sum(F.col("w") * F.col("value"))).alias("value"))
+    if not extrapolate:
+        return made.select(*keys, "value")
+    lost = made.where("value IS NULL").select(*keys, F.struct(*keys).alias("tgt_id"), F.col("y").cast("double").alias("ty"), F.col("x").cast("double").alias("tx"))
+    known = grid.where("value IS NOT NULL").select(F.col("sj").cast("double").alias("sy"), F.col("si").cast("double").alias("sx"), "value")
+    dy, dx = F.col("ty") - F.col("sy"), F.col("tx") - F.col("sx")
+    pairs = candidates(lost.dropna(subset=["ty", "tx"]).select("tgt_id", "ty", "tx"), known, ("y", "x"), tuple(4.0**n for n in (6, 5, 4, 3, 2, 1)))
+    found = pairs.groupBy("tgt_id").agg(F.min(F.struct((dy * dy + dx * dx).alias("d"), "sy", "sx", "value")).alias("_best"))
+    filled = lost.join(found, "tgt_id", "left").select(*keys, F.col("_best.value").alias("value"))
+    return made.where("value IS NOT NULL").select(*keys, "value").unionByName(filled)
 
 
 def frequency_bins(spark: SparkSession, first: float, ratio: float, bins: int) -> DataFrame:

@@ -995,6 +995,20 @@ def g05_bilinear(t: Tables) -> DataFrame:
     return spatial.bilinear(targets, source, ["j", "i"])
 
 
+@query("""WITH source AS (SELECT a.range AS j, b.range AS i, CASE WHEN (a.range * 3 + b.range) % 8 <> 0 THEN 10.0::DOUBLE * a.range + b.range END AS value FROM range(10) a, range(10) b WHERE a.range <> 6 OR b.range <> 4),
+targets AS (SELECT a.range AS tj, b.range AS ti, a.range * 0.75::DOUBLE - 1 AS y, b.range * 0.75::DOUBLE - 1 AS x FROM range(18) a, range(18) b),
+corners AS (SELECT *, floor(y) + dj AS j, floor(x) + di AS i, (CASE dj WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE di WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM targets, (VALUES (0), (1)) p(dj), (VALUES (0), (1)) q(di)),
+made AS (SELECT tj, ti, CASE WHEN count(value) = count(*) THEN sum(w * value) END AS value FROM corners LEFT JOIN source USING (j, i) WHERE w > 0 GROUP BY 1, 2),
+near AS (SELECT tj, ti, value, row_number() OVER (PARTITION BY tj, ti ORDER BY (y - j) * (y - j) + (x - i) * (x - i), j, i) AS n FROM targets, source WHERE value IS NOT NULL)
+SELECT CAST(tj AS INTEGER) AS tj, CAST(ti AS INTEGER) AS ti, m.value AS inside, coalesce(m.value, near.value) AS value FROM made m JOIN near USING (tj, ti) WHERE n = 1""")
+def g05_bilinear_extrapolated(t: Tables) -> DataFrame:
+    cells = lambda n, j, i: t.spark.range(n).select(C("id").cast("int").alias(j)).crossJoin(t.spark.range(n).select(C("id").cast("int").alias(i)))  # noqa: E731  two grids of fixed size
+    source = cells(10, "j", "i").where("j <> 6 OR i <> 4").select("j", "i", F.when((C("j") * 3 + C("i")) % 8 != 0, 10.0 * C("j") + C("i")).alias("value"))
+    targets = cells(18, "tj", "ti").select("tj", "ti", (C("tj") * 0.75 - 1).alias("y"), (C("ti") * 0.75 - 1).alias("x"))
+    inside = spatial.bilinear(targets, source, ["tj", "ti"], extrapolate=False).withColumnRenamed("value", "inside")
+    return inside.join(spatial.bilinear(targets, source, ["tj", "ti"]), ["tj", "ti"])
+
+
 @query(f"""WITH {STAGGERED} SELECT nj, ni, CAST(nj BETWEEN 2 AND 6 AND ni BETWEEN 3 AND 7 AS BOOLEAN) AS near FROM staggered""")
 def p14_dilated_candidates(t: Tables) -> DataFrame:
     s = t.staggered().select("nj", "ni", ((C("nj") == 4) & (C("ni") == 5)).alias("land"))

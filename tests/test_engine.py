@@ -203,6 +203,15 @@ def test_nearest_has_no_radius(spark):
             assert got[i] == (j, pytest.approx(d))
 
 
+def test_bilinear_keeps_targets_at_gaps_and_outside(spark):
+    source = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (1, 0, 5.0), (1, 1, None)], "j int, i int, value double")
+    targets = spark.createDataFrame([(0, 0.0, 0.5), (1, 0.75, 0.25), (2, -3.0, 9000.0), (3, 0.5, 0.0), (4, None, 0.0)], "k int, y double, x double")
+    got = {r.k: r.value for r in spatial.bilinear(targets, source, ["k"]).collect()}
+    assert got == {0: 2.0, 1: 5.0, 2: 3.0, 3: 3.0, 4: None}
+    got = {r.k: r.value for r in spatial.bilinear(targets, source, ["k"], extrapolate=False).collect()}
+    assert got == {0: 2.0, 1: None, 2: None, 3: 3.0, 4: None}
+
+
 def test_clipped_lines_keep_their_length(spark):
     df = spark.createDataFrame([(0.5, 0.5, 9.5, 4.5), (3.0, 1.0, 3.0, 7.5), (2.0, 2.0, 2.0, 2.0), (-4.0, 1.0, 4.0, 1.0)], "x0 double, y0 double, x1 double, y1 double")
     r = spatial.line_density(df, 2.0).agg(F.sum("fx") * 2, F.sum("fy") * 2).first()
