@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nilas.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from nilas.llm.common import read_table, row_key, written
+from nilas.llm.common import hash128, read_table, row_key, written
 from nilas.llm.queries import held_out, vocabulary
 
 
@@ -27,10 +27,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_text(line_dedup.dedup_lines(docs), docs.columns)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of linked ones."""
-    kept = ngram_join.similar(docs).where("kept").select(F.col("doc_id").alias("_id"))
+def apart(docs: DataFrame) -> DataFrame:
+    """Adds `_id`: row_key, or where one key stands on different texts a negative number made from the id and the text."""
+    text = [F.col("text").isNull(), F.coalesce("text", F.lit(""))]
     keyed = docs.withColumn("_id", row_key(F.col("doc_id"), F.col("text")))
+    ends = [f(h) for h in hash128(text) for f in (F.min, F.max)]
+    shared = keyed.groupBy("_id").agg(((ends[0] != ends[1]) | (ends[2] != ends[3])).alias("_shared")).where("_shared")
+    own = -F.lit(1) - F.shiftrightunsigned(F.xxhash64(F.lit(29), "doc_id", *text), 1)
+    return keyed.join(shared, "_id", "left").withColumn("_id", F.when(F.col("_shared"), own).otherwise(F.col("_id"))).drop("_shared")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of the smallest id (of ids on several texts, of those first), of each group of linked ones."""
+    keyed = written(apart(docs), "keyed")
+    kept = ngram_join.similar(keyed.drop("doc_id"), id_col="_id").where("kept").select(F.col("doc_id").alias("_id"))
     return keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(docs.columns)
 
 

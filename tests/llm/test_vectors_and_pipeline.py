@@ -144,6 +144,14 @@ def test_packing_stage(stages):
     assert used <= least + 2
 
 
+def test_unlike_documents_of_one_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b + " end"), (3, c), (3, c), (4, c), (None, ""), (None, None), (5, "")], "doc_id long, text string")
+    got = Counter(tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got.pop((1, a)) == 1 and got.pop((1, b), 0) + got.pop((2, b + " end"), 0) == 1
+    assert got == {(3, c): 1, (None, ""): 1, (None, None): 1, (5, ""): 1}
+
+
 def test_stages_take_hard_and_empty_tables(spark):
     for table in (rows(), []):
         docs = spark.createDataFrame(table, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
