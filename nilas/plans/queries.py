@@ -1009,6 +1009,29 @@ def g05_bilinear_extrapolated(t: Tables) -> DataFrame:
     return inside.join(spatial.bilinear(targets, source, ["tj", "ti"]), ["tj", "ti"])
 
 
+@query(f"WITH {STATIONS} SELECT src_id, ((round(lon, 6) % 360) + 360) % 360 AS lon, round(lat, 6) AS lat FROM stations")
+def f18_polar_round_trip_of_all(t: Tables) -> DataFrame:
+    s = t.stations()
+    x, y = angles.polar_xy(C("lon"), C("lat"))
+    lon, lat = angles.polar_lonlat(C("x"), C("y"))
+    return s.select("src_id", x.alias("x"), y.alias("y")).select("src_id", angles.lon360(F.round(lon, 6)).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query(SQL["w13_daily_values"].replace("CAST(aice AS DOUBLE) AS v FROM daily WHERE day(time) % 7 = 1", "CASE WHEN day(time) % 7 = 1 THEN CAST(aice AS DOUBLE) END AS v FROM daily"))
+def w13_daily_values_with_gaps(t: Tables) -> DataFrame:
+    s = t.daily().select("cell", "time", F.when(F.dayofmonth("time") % 7 == 1, C("aice").cast("double")).alias("v"))
+    return windows.daily_values(s, ["cell"], "time", "v", date(2024, 1, 1), date(2024, 1, 30), max_gap=5)
+
+
+@query(f"""WITH {SERIES}, s AS (SELECT least(dayofyear(time), 365) AS doy, avg(CASE WHEN day(time) = 15 THEN v END) AS v FROM series GROUP BY 1), ring AS (SELECT doy + k AS d, v FROM s, (VALUES (0), (-365), (365)) r(k) WHERE v IS NOT NULL),
+days AS (SELECT CAST(range AS INTEGER) AS doy FROM range(1, 366)), j AS (SELECT doy, (SELECT max(d) FROM ring WHERE d <= doy) AS a, (SELECT min(d) FROM ring WHERE d >= doy) AS b FROM days)
+SELECT j.doy, CASE WHEN a = b THEN x.v ELSE x.v + (y.v - x.v) * (j.doy - a) / (b - a) END AS v FROM j JOIN ring x ON x.d = a JOIN ring y ON y.d = b""")
+def w14_wrapped_interpolation_with_gaps(t: Tables) -> DataFrame:
+    v = F.when(F.dayofmonth("time") == 15, C("v"))
+    s = t.series().groupBy(F.least(F.dayofyear("time"), F.lit(365)).alias("doy")).agg(F.avg(v).alias("v"))
+    return windows.wrapped_values(s, "doy", "v")
+
+
 @query(f"""WITH {STAGGERED} SELECT nj, ni, CAST(nj BETWEEN 2 AND 6 AND ni BETWEEN 3 AND 7 AS BOOLEAN) AS near FROM staggered""")
 def p14_dilated_candidates(t: Tables) -> DataFrame:
     s = t.staggered().select("nj", "ni", ((C("nj") == 4) & (C("ni") == 5)).alias("land"))
