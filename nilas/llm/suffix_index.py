@@ -6,12 +6,18 @@ of `gram` bytes (leftmost of equal ones), so equal windows have their anchor at
 the same place, and about two in `length - gram` suffixes are anchors. The
 windows of one anchor are consecutive; together they are the anchor's run.
 
-A batch of documents gets its array of anchored suffixes, ordered by the hash
-of their first `gram` bytes, which puts equal beginnings side by side as the
-order of the bytes would. Arrays form levels; a new one is merge-scanned with
-the level of its size until there is none, so that levels double and each
-suffix is merged a logarithmic number of times. Suffixes whose beginning stands
-alone in the last array take part in no match. The others are resolved in
+Documents come in batches, about one for every doubling of the corpus. A batch
+gets its sparse suffix array: its anchored suffixes in the order of their first
+16 bytes and then of the hash of their first `gram` bytes, equal ones collapsed
+to one entry. Levels of the family hold 2^i batches or nothing. The array of a
+new batch is merge-scanned against every level: both are in order, so a scan
+puts neighbours side by side, measures how long they match and yields those
+that match in `gram` bytes. Then levels of equal size merge geometrically, each
+suffix a logarithmic number of times. Arrays are cut into parts by the hash of
+the first `gram` bytes, which no match crosses; a part is one task's unit and
+bounded by the number of parts, which grows with the data.
+
+A match is a seed. Suffixes with a match are extended to `length` bytes in
 three steps, each exact and each on what the one before left open:
 
 1. runs that are equal as a whole occur twice, with all their windows;
@@ -19,12 +25,17 @@ three steps, each exact and each on what the one before left open:
    them occurs twice; if the bytes that they span together occur twice, all do;
 3. single windows of blocks that are neither.
 
-Strings are compared by two independent 64-bit hashes. From step to step only
-one member of each class of equal strings goes on, so large groups of copies
-shrink to one row in the map-side aggregation and no group meets in one task.
-
-Null text: no bytes. Texts shorter than `length` keep everything. Repeated rows
-are documents of their own, so their long texts go. Only the named columns are read.
+Strings are compared by two 64-bit hashes, of their first `gram` bytes from the
+anchor and of the whole. From step to step only one member of each class of
+equal strings goes on, so large groups of copies shrink to one row in the
+map-side aggregation and no group meets in one task.
+
+Null or empty text: no bytes, nothing removed. Texts shorter than `length` keep
+everything; longer ones are read whole, in overlapping cuts, however long. Of
+equal windows every one goes, the first too, so there are no ties to break.
+Repeated rows are documents of their own, so their long texts go, also where
+they share an id. Null ids stay null. An empty table gives an empty one. Only
+the named columns are read, so others may clash with the output's names.
 """
 
 from __future__ import annotations
@@ -34,10 +45,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nilas.llm.common import dealt_anew, row_key, written
+from nilas.llm.common import dealt_anew, discard, partitions, row_key, written
 
 BASE = 0x5851F42D4C957F2D
 POSITION = np.uint64(20)
@@ -120,15 +131,24 @@ def gathered(texts: list[bytes], group: list[int], length: int):
     return np.frombuffer(b"".join([texts[i] for i in group]), dtype=np.uint8), windows, np.array(group), begin
 
 
+def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number that sorts as they do."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for i in range(8):
+        out = (out << np.uint64(8)) | data[at + i]
+    return out
+
+
 def suffixes(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Text number, anchor, first and last window, beginning's hash and run's hash of all anchored suffixes."""
+    """Text number, anchor, first and last window, beginning's hash, run's hash and first 16 bytes of all anchored suffixes."""
     for data, windows, group, begin in pieces(texts, length):
         at = 0
         while at < len(windows):
             # A long text is cut where a run ends: the last run of a cut is left to the next one.
             base = int(windows[at])
             part = windows[at : at + PIECE] if len(data) > 2 * PIECE else windows[at:]
-            hashed = Hashed(data[base : int(part[-1]) + length])
+            here = data[base : int(part[-1]) + length]
+            hashed = Hashed(here)
             p, lo, hi, head = anchors(hashed, part - base, length, gram)
             if at + len(part) < len(windows):
                 p, lo, hi, head = p[:-1], lo[:-1], hi[:-1], head[:-1]
@@ -138,80 +158,142 @@ def suffixes(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.nd
             run = hashed.of(lo, hi + length)
             owner = np.searchsorted(begin, lo + base, side="right") - 1
             shift = base - begin[owner]
-            yield group[owner], p + shift, lo + shift, hi + shift, head, run
+            yield group[owner], p + shift, lo + shift, hi + shift, head, run, leading(here, p), leading(here, p + 8)
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def index_rows(docs: DataFrame, length: int, gram: int, batches: int) -> DataFrame:
+def index_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """docs: k1, k2, data. A row per anchored suffix."""
-    names = ["k1", "k2", "p", "lo", "hi", "head", "run"]
+    names = ["k1", "k2", "p", "lo", "hi", "head", "run", "a", "b"]
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in found:
             for cut in range(0, whole.num_rows, 512):
                 b = whole.slice(cut, 512)
-                for owner, p, lo, hi, head, text_run in suffixes(b.column(2).to_pylist(), length, gram):
+                for owner, p, lo, hi, *hashes in suffixes(b.column(2).to_pylist(), length, gram):
                     i = pa.array(owner)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(i), b.column(1).take(i), pa.array(p.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), signed(head), signed(text_run)],
-                        names=names,
-                    )
+                    places = [pa.array(x.astype(np.int32)) for x in (p, lo, hi)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), *places, *map(signed, hashes)], names=names)
+
+    return docs.mapInArrow(run, "k1 long, k2 int, p int, lo int, hi int, head long, run long, a long, b long")
+
+
+#: How often a beginning stands in an array: once, or more often with equal runs, or with different ones.
+ONCE, EQUAL_RUNS, DIFFERENT_RUNS = 0, 1, 2
+ENTRY = "a long, b long, head long, run long, times byte"
+
+
+def scanned(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Merge scan of entries (a, b, head, run, times; runs of sorted ones are merged): the array they make, and which of its entries had neighbours of equal beginnings."""
+    a, b, head, run, times = columns
+    if not len(a):
+        return columns, np.zeros(0, dtype=bool)
+    order = np.lexsort((head, b, a))
+    a, b, head, run, times = (x[order] for x in (a, b, head, run, times))
+    # Length of the match with the entry before, in steps that matter: less than 16 bytes, 16, or the whole beginning.
+    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (head[1:] == head[:-1])
+    starts = np.flatnonzero(np.r_[True, ~same])
+    n = np.diff(np.r_[starts, len(a)])
+    first, last = np.minimum.reduceat(run, starts), np.maximum.reduceat(run, starts)
+    most = np.maximum.reduceat(times, starts)
+    state = np.where((first != last) | (most == DIFFERENT_RUNS), DIFFERENT_RUNS, np.where(n > 1, EQUAL_RUNS, most)).astype(np.int8)
+    return [a[starts], b[starts], head[starts], first, state], n > 1
+
+
+def entries_of(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    kinds = (np.uint64, np.uint64, np.uint64, np.int64, np.int8)
+    return [table.column(n).to_numpy().view(k) for n, k in zip(("a", "b", "head", "run", "times"), kinds, strict=True)]
 
-    rows = docs.mapInArrow(run, "k1 long, k2 int, p int, lo int, hi int, head long, run long")
-    return rows.withColumn("batch", F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)).cast("int"))
+
+def as_arrow(entries: list[np.ndarray]) -> list[pa.Array]:
+    a, b, head, run, times = entries
+    return [signed(a), signed(b), signed(head), pa.array(run), pa.array(times)]
 
 
 class IndexFamily:
-    """Levels of suffix arrays: level i holds 2^i batches or nothing.
+    """Levels of sparse suffix arrays: level i holds 2^i batches or nothing.
 
-    An entry is a beginning (`head`) with how many suffixes have it and the least
-    and greatest of their runs' hashes. Levels are tables in the shared folder.
+    A level is a table in the shared folder: `part` and its entries in suffix
+    order. `add` takes a batch and returns the beginnings of its suffixes that
+    stand elsewhere, in the batch or in any level, and whether runs differ.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.levels = spark, []
+    def __init__(self, parts: int) -> None:
+        self.parts, self.levels = parts, []
 
-    @staticmethod
-    def array_of(rows: DataFrame) -> DataFrame:
-        """The array of a batch of anchored suffixes."""
-        return rows.groupBy("head").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high"))
+    def array_of(self, rows: DataFrame) -> DataFrame:
+        """The array of a batch of anchored suffixes; each task collapses what it reads before the shuffle."""
+        parts = self.parts
+
+        def collapse(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in found:
+                if x.num_rows:
+                    done, _ = scanned(entries_of(x))
+                    part = (done[2] % np.uint64(parts)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *as_arrow(done)], names=["part", "a", "b", "head", "run", "times"])
+
+        slim = rows.select("a", "b", "head", "run", F.lit(ONCE).cast("byte").alias("times"))
+        return self.merged(slim.mapInArrow(collapse, f"part int, {ENTRY}"))
 
     @staticmethod
-    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-        """Merge scan of two arrays: equal beginnings meet."""
-        return a.unionByName(b).groupBy("head").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    def merged(*arrays: DataFrame) -> DataFrame:
+        """One array of several, part by part."""
+
+        def merge(key: tuple, table: pa.Table) -> pa.Table:
+            done, _ = scanned(entries_of(table))
+            names = ["part", "a", "b", "head", "run", "times"]
+            return pa.table([pa.array(np.full(len(done[0]), key[0].as_py(), np.int32)), *as_arrow(done)], names=names)
 
-    def add(self, rows: DataFrame) -> None:
-        new, old = self.array_of(rows), []
+        whole = arrays[0]
+        for x in arrays[1:]:
+            whole = whole.unionByName(x)
+        return whole.groupBy("part").applyInArrow(merge, f"part int, {ENTRY}")
+
+    @staticmethod
+    def matches(new: DataFrame, level: DataFrame | None) -> DataFrame:
+        """head and differ of the entries of `new` that stand twice in it or match an entry of the level."""
+
+        def within(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in found:
+                _, _, head, _, times = entries_of(x)
+                hit = times > ONCE
+                yield pa.RecordBatch.from_arrays([signed(head[hit]), pa.array(times[hit] == DIFFERENT_RUNS)], names=["head", "differ"])
+
+        if level is None:
+            return new.mapInArrow(within, "head long, differ boolean")
+
+        def scan(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            both = [np.concatenate(c) for c in zip(entries_of(left), entries_of(right), strict=True)]
+            (_, _, head, _, times), met = scanned(both)
+            return pa.table([signed(head[met]), pa.array(times[met] == DIFFERENT_RUNS)], names=["head", "differ"])
+
+        return new.groupBy("part").cogroup(level.groupBy("part")).applyInArrow(scan, "head long, differ boolean")
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        new = written(self.array_of(rows), "level")
+        found = self.matches(new, None)
+        for level in self.levels:
+            if level is not None:
+                found = found.union(self.matches(new, level))
+        found, old = written(found, "matches"), [new]
         for i, level in enumerate(self.levels):
             if level is None:
                 break
-            new, old = self.merged(new, level), [*old, i]
+            old.append(level)
+            self.levels[i] = None
         else:
             i = len(self.levels)
             self.levels.append(None)
-        table = written(new, "level")
-        for k in old:
-            self.drop(self.levels[k])
-            self.levels[k] = None
-        self.levels[i] = table
-
-    def drop(self, table: DataFrame) -> None:
-        """Delete a level that is merged into a written one."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0].rsplit("/", 1)[0]) if table.inputFiles() else None
-        if path is not None:
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def matched(self) -> DataFrame:
-        """Beginnings that occur twice, and whether their runs differ."""
-        live = [x for x in self.levels if x is not None]
-        whole = live[0]
-        for x in live[1:]:
-            whole = self.merged(whole, x)
-        return whole.where(F.col("n") > 1).select("head", (F.col("low") != F.col("high")).alias("differ"))
+        self.levels[i] = written(self.merged(*old), "level") if old[1:] else new
+        if old[1:]:
+            discard(*old)
+        return found
+
+    def close(self) -> None:
+        discard(*[x for x in self.levels if x is not None])
 
 
 def contexts(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
@@ -303,14 +385,28 @@ def window_rows(ctx: DataFrame, length: int) -> DataFrame:
     return ctx.mapInArrow(run, "k1 long, k2 int, s int, head long, text long")
 
 
-def repeated_spans(docs: DataFrame, length: int, gram: int, batches: int) -> DataFrame:
+def seeds(rows: DataFrame, part_rows: int = 250_000, least_batch: int = 1 << 20) -> DataFrame:
+    """rows: anchored suffixes. head and differ of all beginnings that stand twice, batch by batch through the family."""
+    n = rows.count()
+    batches = 1 + int(np.ceil(np.log2(1 + n / least_batch)))
+    family = IndexFamily(max(4 * partitions(rows.sparkSession), -(-n // part_rows)))
+    batch = F.pmod(F.xxhash64(F.lit(5), "k1", "k2"), F.lit(batches))
+    found = [family.add(rows.where(batch == i)) for i in range(batches)]
+    family.close()
+    whole = found[0]
+    for x in found[1:]:
+        whole = whole.union(x)
+    out = written(whole.groupBy("head").agg(F.max("differ").alias("differ")), "seeds")
+    discard(*found)
+    return out
+
+
+def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """docs: k1, k2, data. k1, k2, start, stop of spans whose windows all occur twice; they overlap and touch."""
-    spark = docs.sparkSession
-    rows = written(index_rows(docs, length, gram, batches), "suffixes")
-    family = IndexFamily(spark)
-    for i in range(batches):
-        family.add(rows.where(F.col("batch") == i))
-    matched = written(rows.drop("batch").join(family.matched(), "head"), "matched")
+    rows = written(index_rows(docs, length, gram), "suffixes")
+    twofold = seeds(rows)
+    matched = written(rows.drop("a", "b").join(twofold, "head"), "matched")
+    discard(rows, twofold)
 
     # Step 1: whole runs.
     place = ["k1", "k2", "p", "lo", "hi"]
@@ -336,11 +432,14 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, batches: int) -> Dat
     windows = written(window_rows(ctx.join(asked, ["k1", "k2", "p"]), length), "windows")
     both = windows.groupBy("head", "text").agg(F.count("*").alias("n")).where("n > 1")
     both = dealt_anew(both).select("head", "text")
-    return spans.union(windows.join(both, ["head", "text"]).select("k1", "k2", F.col("s").alias("start"), (F.col("s") + length).alias("stop")))
+    spans = spans.union(windows.join(both, ["head", "text"]).select("k1", "k2", F.col("s").alias("start"), (F.col("s") + length).alias("stop")))
+    spans = written(spans, "spans")
+    discard(matched, runs, ctx, blocks, windows)
+    return spans
 
 
 def remove_repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, batches: int = 4
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64
 ) -> DataFrame:
     """doc_id, kept (the bytes that stay), n_bytes, n_removed and spans (starts and stops of the removed runs)."""
     slim = docs.select(
@@ -349,7 +448,7 @@ def remove_repeats(
         F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("k2"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"),
     )
-    spans = repeated_spans(slim.select("k1", "k2", "data"), length, gram, batches)
+    spans = repeated_spans(slim.select("k1", "k2", "data"), length, gram)
     packed: Column = F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")
     per_doc = spans.groupBy("k1", "k2").agg(F.collect_set(packed).alias("spans"))
     rows = slim.join(per_doc, ["k1", "k2"], "left").select("doc_id", "data", "spans")

@@ -145,6 +145,32 @@ def test_suffix_index_of_hard_rows(hard, empty):
     assert suffix_index.remove_repeats(empty).count() == 0
 
 
+def test_family_finds_every_seed(spark, monkeypatch):
+    rng = random.Random(8)
+    rows_ = [(rng.randint(-30, 30), rng.randint(0, 9), rng.randint(-9, 9), rng.randint(0, 2), i, i % 3) for i in range(1500)]
+    df = spark.createDataFrame(rows_, "a long, b long, head long, run long, k1 long, k2 int").withColumn("head", F.xxhash64("a", "b", "head")).repartition(3).cache()
+    want = {r["head"]: r["differ"] for r in df.groupBy("a", "b", "head").agg(F.count("*").alias("n"), (F.min("run") != F.max("run")).alias("differ")).where("n > 1").collect()}
+    sizes = []
+    add = suffix_index.IndexFamily.add
+
+    def watched(self, rows):
+        out = add(self, rows)
+        sizes.append([x is not None for x in self.levels])
+        for level in filter(None, self.levels):
+            parts = {}
+            for r in level.collect():
+                parts.setdefault(r["part"], []).append(tuple(x % 2**64 for x in (r["a"], r["b"], r["head"])))
+            assert all(x == sorted(set(x)) for x in parts.values())  # in the order of their bytes
+        return out
+
+    monkeypatch.setattr(suffix_index.IndexFamily, "add", watched)
+    for least in (1 << 20, 100):
+        sizes.clear()
+        assert {r["head"]: r["differ"] for r in suffix_index.seeds(df, part_rows=200, least_batch=least).collect()} == want
+        assert sizes == [[bool(i >> k & 1) for k in range(i.bit_length())] for i in range(1, len(sizes) + 1)]
+    assert len(sizes) == 5 and suffix_index.seeds(df.limit(0)).count() == 0
+
+
 def test_long_texts_are_cut_at_runs():
     rng = random.Random(1)
     text = bytes(rng.randrange(97, 123) for _ in range(3 * suffix_index.PIECE)) * 2
