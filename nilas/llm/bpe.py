@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -24,6 +26,21 @@ FINE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}
 NONE = np.int64(1) << 40
 
 
+@lru_cache(1)
+def unassigned() -> tuple[re.Pattern, re.Pattern]:
+    """Characters of the basic plane that are unassigned here, and all beyond it."""
+    out = [c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Cn"]
+    return re.compile(f"[{re.escape(''.join(out))}]"), re.compile("[\U00010000-\U0010ffff]")
+
+
+def of_newer_unicode(text: str) -> bool:
+    """Whether a text holds a character that Python's Unicode version lacks: other libraries may call it a letter."""
+    if text.isascii():
+        return False
+    basic, beyond = unassigned()
+    return basic.search(text) is not None or any(unicodedata.category(c) == "Cn" for c in set(beyond.findall(text)))
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte, as byte-level vocabularies spell it."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -121,8 +138,9 @@ class TokenCounter:
 
     A text is split at single spaces; a chunk and the space before it hold
     whole pre-tokens unless a space stands between other white space, in which
-    case the slower pattern splits that text. Counts of chunks and of words are
-    remembered up to a bound.
+    case the slower pattern splits that text. Texts with characters that are
+    newer than Python's Unicode version are split by the library's own
+    pre-tokenizer. Counts of chunks and of words are remembered up to a bound.
     """
 
     #: A space between white space (or before the end): splitting there would part a run.
@@ -130,6 +148,7 @@ class TokenCounter:
 
     def __init__(self, path: str, remember: int = 150_000) -> None:
         import regex
+        from tokenizers.pre_tokenizers import ByteLevel
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -140,6 +159,7 @@ class TokenCounter:
         added = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.fine = regex.compile(FINE, flags=regex.V1)
+        self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         self.words = Remembered(self.of_words, remember)
         self.plain = Remembered(self.of_chunks, remember)
         self.spaced = Remembered(lambda cs: self.of_chunks([" " + c for c in cs]), remember)
@@ -160,6 +180,10 @@ class TokenCounter:
                 total[i] += n  # each special string is one token
                 parts = self.special.split(text)
             for part in parts:
+                if of_newer_unicode(part):
+                    words = [part[a:z] for _, (a, z) in self.library.pre_tokenize_str(part)]
+                    total[i] += sum(map(self.words.learn([words]), words))
+                    continue
                 owner.append(i)
                 if self.RUN.search(part):
                     plain.append(CHUNK.findall(part))

@@ -9,9 +9,12 @@ is filled best-fit. The plan is a list of (pattern, times). Pieces then find
 their place by their rank among the pieces of equal length, which is counted in
 hash buckets, so a length that a third of all pieces share stays spread out.
 
-Null text: an empty document (one piece: the end id). Repeated rows are packed
-as often as they occur. Empty table: no rows. Columns besides the two named
-ones are not read.
+Null or empty text: an empty document (one piece: the end id). A text of any
+length is tokenized whole and cut into pieces of `capacity` ids. Pieces of one
+length change places freely, so ties are broken by id, piece and checksum, and
+repeated rows are packed as often as they occur. Null ids stay null. Empty
+table: no rows. Columns besides the two named ones are not read, so others may
+clash with the output's names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nilas.llm.bpe import Remembered
+from nilas.llm.bpe import Remembered, of_newer_unicode
 from nilas.llm.common import partitions, written
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -40,7 +43,8 @@ class WordIds:
     The vocabulary's pre-tokens never cross white space, nor the border of a
     letter run and other characters unless an apostrophe is near. Texts for
     which such cuts could matter (not in normal form C, special strings, a
-    dotted capital I) go to the library whole.
+    dotted capital I, characters newer than Python's Unicode version) go to the
+    library whole.
     """
 
     SPACED = re.compile("[^ \t-\r]+")
@@ -86,7 +90,7 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         safe = [
-            not ("<|" in t or "\u0130" in t) and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts
+            t.isascii() and "<|" not in t or not ("<|" in t or "\u0130" in t or of_newer_unicode(t)) and unicodedata.is_normalized("NFC", t) for t in texts
         ]
         rows = [self.pattern(t).findall(t) if ok else [] for t, ok in zip(texts, safe, strict=True)]
         get = self.units.learn(rows)

@@ -2,8 +2,10 @@
 
 Rows: one per document row. A null text counts as an empty one (0 bytes, 0
 tokens). Special strings inside a text count as one token each, as the
-tokenizer library does by default. No row is cut, whatever its length. Repeated
-rows give repeated results. Columns besides the two named ones are not read.
+tokenizer library does by default. No row is cut, whatever its length: words
+are what is remembered, not texts. Repeated rows give repeated results, null
+ids stay null, and an empty table gives an empty one. Columns besides the two
+named ones are not read, so others may clash with the output's names.
 """
 
 from __future__ import annotations

@@ -95,6 +95,16 @@ def test_word_ids_with_little_memory():
         assert [np.frombuffer(x, "<u4").tolist() for x in w.ids(texts)] == ref
 
 
+def test_ids_and_counts_around_every_character():
+    rng = random.Random(7)
+    chars = [chr(c) for c in range(0x323B0) if not 0xD800 <= c < 0xE000]
+    odd = [" ", "  ", "\n", "'", "'s", "a", "B", "1", "²", ".", "é", "글", "漢", "\u3000", "\x1c", "<|endoftext|>", "İ", "ǅ", "\u0301", "😀", "\U00014081", "\ua7f1", "ª", "Ⅷ", "_"]
+    texts = ["글" + c + "a" for c in chars] + ["".join(rng.choice(odd) if rng.random() < 0.8 else rng.choice(chars) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    ref = [np.array(e.ids, "<u4").tobytes() for e in library("word_bpe_49k.json").encode_batch_fast(texts, add_special_tokens=False)]
+    assert packing.WordIds(vocabulary("word_bpe_49k.json")).ids(texts) == ref
+    assert TokenCounter(vocabulary("byte_bpe_50k.json")).count(texts) == [len(e.ids) for e in library("byte_bpe_50k.json").encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(4)
     for cap in (10, 64, 256):
