@@ -11,9 +11,10 @@ gets its sparse suffix array: its anchored suffixes in the order of their first
 16 bytes and then of the hash of their first `gram` bytes, equal ones collapsed
 to one entry. Levels of the family hold 2^i batches or nothing. The array of a
 new batch is merge-scanned against every level: both are in order, so a scan
-puts neighbours side by side, measures how long they match and yields those
-that match in `gram` bytes. Then levels of equal size merge geometrically, each
-suffix a logarithmic number of times. Arrays are cut into parts by the hash of
+puts neighbours side by side and finds those that match in `gram` bytes. In the
+same pass levels of equal size merge geometrically, each suffix a logarithmic
+number of times. An entry that was in a match keeps that mark, so the live
+levels hold all matches in the end. Arrays are cut into parts by the hash of
 the first `gram` bytes, which no match crosses; a part is one task's unit and
 bounded by the number of parts, which grows with the data.
 
@@ -186,21 +187,24 @@ ONCE, EQUAL_RUNS, DIFFERENT_RUNS = 0, 1, 2
 ENTRY = "a long, b long, head long, run long, times byte"
 
 
-def scanned(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Merge scan of entries (a, b, head, run, times; runs of sorted ones are merged): the array they make, and which of its entries had neighbours of equal beginnings."""
-    a, b, head, run, times = columns
+def scanned(entries: list[np.ndarray], stays: np.ndarray) -> list[np.ndarray]:
+    """Merge scan of arrays (a, b, head, run, times; each in order). Returns the array that the entries marked in `stays` make.
+
+    Neighbours of equal beginnings are a match, which the merged entry's `times` tells from then on.
+    """
+    a, b, head, run, times = entries
     if not len(a):
-        return columns, np.zeros(0, dtype=bool)
+        return entries
     order = np.lexsort((head, b, a))
-    a, b, head, run, times = (x[order] for x in (a, b, head, run, times))
-    # Length of the match with the entry before, in steps that matter: less than 16 bytes, 16, or the whole beginning.
+    a, b, head, run, times, stays = (x[order] for x in (a, b, head, run, times, stays))
     same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (head[1:] == head[:-1])
     starts = np.flatnonzero(np.r_[True, ~same])
     n = np.diff(np.r_[starts, len(a)])
     first, last = np.minimum.reduceat(run, starts), np.maximum.reduceat(run, starts)
     most = np.maximum.reduceat(times, starts)
     state = np.where((first != last) | (most == DIFFERENT_RUNS), DIFFERENT_RUNS, np.where(n > 1, EQUAL_RUNS, most)).astype(np.int8)
-    return [a[starts], b[starts], head[starts], first, state], n > 1
+    keep = np.logical_or.reduceat(stays, starts)
+    return [x[keep] for x in (a[starts], b[starts], head[starts], first, state)]
 
 
 def entries_of(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
@@ -217,80 +221,46 @@ class IndexFamily:
     """Levels of sparse suffix arrays: level i holds 2^i batches or nothing.
 
     A level is a table in the shared folder: `part` and its entries in suffix
-    order. `add` takes a batch and returns the beginnings of its suffixes that
-    stand elsewhere, in the batch or in any level, and whether runs differ.
+    order. Adding a batch is one job: each task sorts the batch's suffixes of a
+    part, merge-scans them against that part of every level and writes them
+    merged with the levels that are due.
     """
 
     def __init__(self, parts: int) -> None:
         self.parts, self.levels = parts, []
 
-    def array_of(self, rows: DataFrame) -> DataFrame:
-        """The array of a batch of anchored suffixes; each task collapses what it reads before the shuffle."""
+    def add(self, rows: DataFrame) -> None:
         parts = self.parts
 
         def collapse(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What a task reads, equal beginnings once: a hot one isn't shuffled row by row."""
             for x in found:
-                if x.num_rows:
-                    done, _ = scanned(entries_of(x))
-                    part = (done[2] % np.uint64(parts)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(part), *as_arrow(done)], names=["part", "a", "b", "head", "run", "times"])
-
-        slim = rows.select("a", "b", "head", "run", F.lit(ONCE).cast("byte").alias("times"))
-        return self.merged(slim.mapInArrow(collapse, f"part int, {ENTRY}"))
-
-    @staticmethod
-    def merged(*arrays: DataFrame) -> DataFrame:
-        """One array of several, part by part."""
+                done = scanned(entries_of(x), np.ones(x.num_rows, dtype=bool))
+                part = (done[2] % np.uint64(parts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), *as_arrow(done)], names=["part", "a", "b", "head", "run", "times"])
 
         def merge(key: tuple, table: pa.Table) -> pa.Table:
-            done, _ = scanned(entries_of(table))
+            done = scanned(entries_of(table), table.column("stays").to_numpy(zero_copy_only=False))
             names = ["part", "a", "b", "head", "run", "times"]
             return pa.table([pa.array(np.full(len(done[0]), key[0].as_py(), np.int32)), *as_arrow(done)], names=names)
 
-        whole = arrays[0]
-        for x in arrays[1:]:
-            whole = whole.unionByName(x)
-        return whole.groupBy("part").applyInArrow(merge, f"part int, {ENTRY}")
-
-    @staticmethod
-    def matches(new: DataFrame, level: DataFrame | None) -> DataFrame:
-        """head and differ of the entries of `new` that stand twice in it or match an entry of the level."""
-
-        def within(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in found:
-                _, _, head, _, times = entries_of(x)
-                hit = times > ONCE
-                yield pa.RecordBatch.from_arrays([signed(head[hit]), pa.array(times[hit] == DIFFERENT_RUNS)], names=["head", "differ"])
-
-        if level is None:
-            return new.mapInArrow(within, "head long, differ boolean")
-
-        def scan(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            both = [np.concatenate(c) for c in zip(entries_of(left), entries_of(right), strict=True)]
-            (_, _, head, _, times), met = scanned(both)
-            return pa.table([signed(head[met]), pa.array(times[met] == DIFFERENT_RUNS)], names=["head", "differ"])
-
-        return new.groupBy("part").cogroup(level.groupBy("part")).applyInArrow(scan, "head long, differ boolean")
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        new = written(self.array_of(rows), "level")
-        found = self.matches(new, None)
-        for level in self.levels:
-            if level is not None:
-                found = found.union(self.matches(new, level))
-        found, old = written(found, "matches"), [new]
+        due = next((i for i, level in enumerate(self.levels) if level is None), len(self.levels))
+        slim = rows.select("a", "b", "head", "run", F.lit(ONCE).cast("byte").alias("times"))
+        met = slim.mapInArrow(collapse, f"part int, {ENTRY}").withColumn("stays", F.lit(True))
         for i, level in enumerate(self.levels):
-            if level is None:
-                break
-            old.append(level)
-            self.levels[i] = None
-        else:
-            i = len(self.levels)
-            self.levels.append(None)
-        self.levels[i] = written(self.merged(*old), "level") if old[1:] else new
-        if old[1:]:
-            discard(*old)
-        return found
+            if level is not None:
+                met = met.unionByName(level.withColumn("stays", F.lit(i < due)))
+        made = written(met.groupBy("part").applyInArrow(merge, f"part int, {ENTRY}"), "level")
+        discard(*self.levels[:due])
+        self.levels = [*[None] * due, made, *self.levels[due + 1 :]]
+
+    def matches(self) -> DataFrame:
+        """head and differ (whether their runs do) of the beginnings that stand twice."""
+        live = [x for x in self.levels if x is not None]
+        whole = live[0]
+        for x in live[1:]:
+            whole = whole.unionByName(x)
+        return whole.where(F.col("times") > ONCE).groupBy("head").agg((F.max("times") == DIFFERENT_RUNS).alias("differ"))
 
     def close(self) -> None:
         discard(*[x for x in self.levels if x is not None])
@@ -385,28 +355,24 @@ def window_rows(ctx: DataFrame, length: int) -> DataFrame:
     return ctx.mapInArrow(run, "k1 long, k2 int, s int, head long, text long")
 
 
-def seeds(rows: DataFrame, part_rows: int = 250_000, least_batch: int = 1 << 20) -> DataFrame:
-    """rows: anchored suffixes. head and differ of all beginnings that stand twice, batch by batch through the family."""
+def indexed(rows: DataFrame, part_rows: int = 250_000, least_batch: int = 1 << 20) -> IndexFamily:
+    """The family of all anchored suffixes, added batch by batch."""
     n = rows.count()
     batches = 1 + int(np.ceil(np.log2(1 + n / least_batch)))
     family = IndexFamily(max(4 * partitions(rows.sparkSession), -(-n // part_rows)))
     batch = F.pmod(F.xxhash64(F.lit(5), "k1", "k2"), F.lit(batches))
-    found = [family.add(rows.where(batch == i)) for i in range(batches)]
-    family.close()
-    whole = found[0]
-    for x in found[1:]:
-        whole = whole.union(x)
-    out = written(whole.groupBy("head").agg(F.max("differ").alias("differ")), "seeds")
-    discard(*found)
-    return out
+    for i in range(batches):
+        family.add(rows.where(batch == i))
+    return family
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """docs: k1, k2, data. k1, k2, start, stop of spans whose windows all occur twice; they overlap and touch."""
+    """docs: k1, k2, data. k1, k2 and the packed starts and stops of spans whose windows all occur twice; they overlap and touch."""
     rows = written(index_rows(docs, length, gram), "suffixes")
-    twofold = seeds(rows)
-    matched = written(rows.drop("a", "b").join(twofold, "head"), "matched")
-    discard(rows, twofold)
+    family = indexed(rows)
+    matched = written(rows.drop("a", "b").join(family.matches(), "head"), "matched")
+    family.close()
+    discard(rows)
 
     # Step 1: whole runs.
     place = ["k1", "k2", "p", "lo", "hi"]
@@ -433,9 +399,10 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     both = windows.groupBy("head", "text").agg(F.count("*").alias("n")).where("n > 1")
     both = dealt_anew(both).select("head", "text")
     spans = spans.union(windows.join(both, ["head", "text"]).select("k1", "k2", F.col("s").alias("start"), (F.col("s") + length).alias("stop")))
-    spans = written(spans, "spans")
+    packed: Column = F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")
+    per_doc = written(spans.groupBy("k1", "k2").agg(F.collect_set(packed).alias("spans")), "spans")
     discard(matched, runs, ctx, blocks, windows)
-    return spans
+    return per_doc
 
 
 def remove_repeats(
@@ -448,9 +415,7 @@ def remove_repeats(
         F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("k2"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"),
     )
-    spans = repeated_spans(slim.select("k1", "k2", "data"), length, gram)
-    packed: Column = F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")
-    per_doc = spans.groupBy("k1", "k2").agg(F.collect_set(packed).alias("spans"))
+    per_doc = repeated_spans(slim.select("k1", "k2", "data"), length, gram)
     rows = slim.join(per_doc, ["k1", "k2"], "left").select("doc_id", "data", "spans")
     kind = dict(rows.dtypes)["doc_id"]
 

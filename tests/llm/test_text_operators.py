@@ -164,21 +164,20 @@ def test_family_finds_every_seed(spark, monkeypatch):
     add = suffix_index.IndexFamily.add
 
     def watched(self, rows):
-        out = add(self, rows)
+        add(self, rows)
         sizes.append([x is not None for x in self.levels])
         for level in filter(None, self.levels):
             parts = {}
             for r in level.collect():
                 parts.setdefault(r["part"], []).append(tuple(x % 2**64 for x in (r["a"], r["b"], r["head"])))
             assert all(x == sorted(set(x)) for x in parts.values())  # in the order of their bytes
-        return out
 
     monkeypatch.setattr(suffix_index.IndexFamily, "add", watched)
     for least in (1 << 20, 100):
         sizes.clear()
-        assert {r["head"]: r["differ"] for r in suffix_index.seeds(df, part_rows=200, least_batch=least).collect()} == want
+        assert {r["head"]: r["differ"] for r in suffix_index.indexed(df, part_rows=200, least_batch=least).matches().collect()} == want
         assert sizes == [[bool(i >> k & 1) for k in range(i.bit_length())] for i in range(1, len(sizes) + 1)]
-    assert len(sizes) == 5 and suffix_index.seeds(df.limit(0)).count() == 0
+    assert len(sizes) == 5 and suffix_index.indexed(df.limit(0)).matches().count() == 0
 
 
 def test_long_texts_are_cut_at_runs():
