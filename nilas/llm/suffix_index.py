@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nilas.llm.common import dealt_anew, discard, partitions, row_key, written
+from nilas.llm.common import dealt_anew, discard, row_key, written
 
 BASE = 0x5851F42D4C957F2D
 POSITION = np.uint64(20)
@@ -185,6 +185,7 @@ def index_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 #: How often a beginning stands in an array: once, or more often with equal runs, or with different ones.
 ONCE, EQUAL_RUNS, DIFFERENT_RUNS = 0, 1, 2
 ENTRY = "a long, b long, head long, run long, times byte"
+NAMES = ["a", "b", "head", "run", "times"]
 
 
 def scanned(entries: list[np.ndarray], stays: np.ndarray) -> list[np.ndarray]:
@@ -209,7 +210,7 @@ def scanned(entries: list[np.ndarray], stays: np.ndarray) -> list[np.ndarray]:
 
 def entries_of(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
     kinds = (np.uint64, np.uint64, np.uint64, np.int64, np.int8)
-    return [table.column(n).to_numpy().view(k) for n, k in zip(("a", "b", "head", "run", "times"), kinds, strict=True)]
+    return [table.column(n).to_numpy().view(k) for n, k in zip(NAMES, kinds, strict=True)]
 
 
 def as_arrow(entries: list[np.ndarray]) -> list[pa.Array]:
@@ -220,37 +221,34 @@ def as_arrow(entries: list[np.ndarray]) -> list[pa.Array]:
 class IndexFamily:
     """Levels of sparse suffix arrays: level i holds 2^i batches or nothing.
 
-    A level is a table in the shared folder: `part` and its entries in suffix
-    order. Adding a batch is one job: each task sorts the batch's suffixes of a
-    part, merge-scans them against that part of every level and writes them
-    merged with the levels that are due.
+    A level is a table in the shared folder, a file per part in suffix order.
+    Adding a batch is one job: each task sorts the batch's suffixes of a part,
+    merge-scans them against that part of every level and writes them merged
+    with the levels that are due.
     """
 
     def __init__(self, parts: int) -> None:
         self.parts, self.levels = parts, []
 
     def add(self, rows: DataFrame) -> None:
-        parts = self.parts
-
         def collapse(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """What a task reads, equal beginnings once: a hot one isn't shuffled row by row."""
             for x in found:
-                done = scanned(entries_of(x), np.ones(x.num_rows, dtype=bool))
-                part = (done[2] % np.uint64(parts)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), *as_arrow(done)], names=["part", "a", "b", "head", "run", "times"])
+                yield pa.RecordBatch.from_arrays(as_arrow(scanned(entries_of(x), np.ones(x.num_rows, dtype=bool))), names=NAMES)
 
-        def merge(key: tuple, table: pa.Table) -> pa.Table:
-            done = scanned(entries_of(table), table.column("stays").to_numpy(zero_copy_only=False))
-            names = ["part", "a", "b", "head", "run", "times"]
-            return pa.table([pa.array(np.full(len(done[0]), key[0].as_py(), np.int32)), *as_arrow(done)], names=names)
+        def merge(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met = [(entries_of(x), x.column("stays").to_numpy(zero_copy_only=False)) for x in found]
+            if met:
+                entries = [np.concatenate(c) for c in zip(*[e for e, _ in met], strict=True)]
+                done = pa.RecordBatch.from_arrays(as_arrow(scanned(entries, np.concatenate([s for _, s in met]))), names=NAMES)
+                yield from (done.slice(at, 50_000) for at in range(0, done.num_rows, 50_000))
 
         due = next((i for i, level in enumerate(self.levels) if level is None), len(self.levels))
-        slim = rows.select("a", "b", "head", "run", F.lit(ONCE).cast("byte").alias("times"))
-        met = slim.mapInArrow(collapse, f"part int, {ENTRY}").withColumn("stays", F.lit(True))
+        met = rows.select("a", "b", "head", "run", F.lit(ONCE).cast("byte").alias("times")).mapInArrow(collapse, ENTRY).withColumn("stays", F.lit(True))
         for i, level in enumerate(self.levels):
             if level is not None:
                 met = met.unionByName(level.withColumn("stays", F.lit(i < due)))
-        made = written(met.groupBy("part").applyInArrow(merge, f"part int, {ENTRY}"), "level")
+        made = written(met.repartition(self.parts, "head").mapInArrow(merge, ENTRY), "level")
         discard(*self.levels[:due])
         self.levels = [*[None] * due, made, *self.levels[due + 1 :]]
 
@@ -269,7 +267,7 @@ class IndexFamily:
 def contexts(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
     """The bytes around the anchors of open runs, enough for all blocks that a run meets; `off` is where they start in the text."""
     asked = open_runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "lo", "hi", "head")).alias("asked"))
-    met = docs.join(asked, ["k1", "k2"]).select("k1", "k2", "data", "asked")
+    met = docs.join(asked.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "data", "asked")
     names = ["k1", "k2", "p", "lo", "hi", "head", "off", "size", "bytes"]
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +353,11 @@ def window_rows(ctx: DataFrame, length: int) -> DataFrame:
     return ctx.mapInArrow(run, "k1 long, k2 int, s int, head long, text long")
 
 
-def indexed(rows: DataFrame, part_rows: int = 250_000, least_batch: int = 1 << 20) -> IndexFamily:
+def indexed(rows: DataFrame, part_rows: int = 500_000, least_batch: int = 1 << 20) -> IndexFamily:
     """The family of all anchored suffixes, added batch by batch."""
     n = rows.count()
     batches = 1 + int(np.ceil(np.log2(1 + n / least_batch)))
-    family = IndexFamily(max(4 * partitions(rows.sparkSession), -(-n // part_rows)))
+    family = IndexFamily(max(1, -(-n // part_rows)))
     batch = F.pmod(F.xxhash64(F.lit(5), "k1", "k2"), F.lit(batches))
     for i in range(batches):
         family.add(rows.where(batch == i))
@@ -416,7 +414,7 @@ def remove_repeats(
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"),
     )
     per_doc = repeated_spans(slim.select("k1", "k2", "data"), length, gram)
-    rows = slim.join(per_doc, ["k1", "k2"], "left").select("doc_id", "data", "spans")
+    rows = slim.join(per_doc.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "data", "spans")
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -168,8 +168,8 @@ def test_family_finds_every_seed(spark, monkeypatch):
         sizes.append([x is not None for x in self.levels])
         for level in filter(None, self.levels):
             parts = {}
-            for r in level.collect():
-                parts.setdefault(r["part"], []).append(tuple(x % 2**64 for x in (r["a"], r["b"], r["head"])))
+            for r in level.select("*", F.input_file_name().alias("file")).collect():
+                parts.setdefault(r["file"], []).append(tuple(x % 2**64 for x in (r["a"], r["b"], r["head"])))
             assert all(x == sorted(set(x)) for x in parts.values())  # in the order of their bytes
 
     monkeypatch.setattr(suffix_index.IndexFamily, "add", watched)
