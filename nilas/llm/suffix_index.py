@@ -368,7 +368,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """docs: k1, k2, data. k1, k2 and the packed starts and stops of spans whose windows all occur twice; they overlap and touch."""
     rows = written(index_rows(docs, length, gram), "suffixes")
     family = indexed(rows)
-    matched = written(rows.drop("a", "b").join(family.matches(), "head"), "matched")
+    matched = written(rows.drop("a", "b").join(dealt_anew(family.matches()), "head"), "matched")
     family.close()
     discard(rows)
 
