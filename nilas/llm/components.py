@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nilas.llm.common import dealt_anew, written
+from nilas.llm.common import dealt_anew, discard, written
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        edges = written(star(star(edges, True), False), "edges")
+        old, edges = edges, written(star(star(edges, True), False), "edges")
+        discard(old)
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
@@ -43,6 +44,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def labelled(classes: DataFrame, counts: DataFrame, links: DataFrame) -> DataFrame:
+    """classes: c1, c2, node, copies, one (a struct). Returns c1, c2, links (copies included) and the least `one` of the component.
+
+    counts: node, links. links: node, root. The class of a hot component is
+    found by an aggregation and a join, both of which spread its rows.
+    """
+    final = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    met = classes.join(counts, "node", "left").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    met = written(met, "labelled")
+    least = dealt_anew(met.where("links IS NOT NULL").groupBy("component").agg(F.min("one").alias("_least")))
+    all_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+    return met.join(least, "component", "left").select("c1", "c2", all_links, F.coalesce("_least", "one").alias("first"))
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray, step: int = 20_000) -> np.ndarray:
     """The least member of the set of each of n items, after joining the pairs (a, b).
 

@@ -10,10 +10,15 @@ order as one stream of words; its quota is that many whole passes and a run of
 blocks from a seeded block on (cyclic), so `taken` of a document is closed
 arithmetic on its place in the stream.
 
-Null text has size 0 and is never taken. Repeated rows are documents of their
-own. With no words at all every target and every taken is 0. Only the three
-named columns are read. A source is never grouped into one task: its shards
-hold about `shard_words` words each.
+Null, empty or blank text has size 0 and is never taken; a text of any length is
+one document. A document is placed by a hash of its id and text, so a hot or
+null id spreads over shards. Repeated rows are documents of their own, side by
+side in one shard's stream; which of them a run ends in is the only tie, and
+they are alike. With no words at all every target and every taken is 0; an
+empty table gives an empty one. Only the named columns are read, so others may
+clash with the output's names. A source is never grouped into one task: its
+shards hold about `shard_words` words each. What is sorted in one task is a row
+for each source.
 """
 
 from __future__ import annotations
@@ -96,13 +101,20 @@ def mix(
     block: int = 8,
     shard_words: int = 1 << 20,
     seed: int = 11,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target and taken, and first and length of the run taken besides whole passes."""
+    """doc_id, size, source_size, target and taken, and the first word of the run taken besides whole passes.
+
+    row_col: a column of unique numbers, which is then returned too, as `row`.
+    """
+    row = ["row"] * (row_col is not None)
     sized = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+            F.substring(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), 1, 16).alias("th"),
+            *[F.col(row_col).alias("row") for _ in row],
         ),
         "sizes",
     )
@@ -113,8 +125,8 @@ def mix(
     )
     sources = sources.withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     rows = sized.join(sources, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "size", "source_no", "source_size", "target", "blocks",
-        (number(seeded(seed, F.lit("shard"), F.col("doc_id"))) % F.col("_shards")).alias("shard"),
+        "doc_id", *row, "th", "size", "source_no", "source_size", "target", "blocks",
+        (number(seeded(seed, F.lit("shard"), F.col("doc_id"), F.col("th"))) % F.col("_shards")).alias("shard"),
     )
     shards = rows.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     want = F.least(F.col("quota") * block, F.col("shard_size") * repeat)
@@ -126,7 +138,7 @@ def mix(
         .withColumn("first", number(seeded(seed, F.lit("block"), F.col("source_no"), F.col("shard"))) % F.ceil(holds / block).cast("long") * block)
         .select("source_no", "shard", "shard_size", "passes", "run", "first")
     )
-    stream = Window.partitionBy("source_no", "shard").orderBy(seeded(seed, F.col("doc_id")), "doc_id", "size")
+    stream = Window.partitionBy("source_no", "shard").orderBy(seeded(seed, F.col("doc_id"), F.col("th")), "doc_id", "size")
     at = F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     zero, end = F.lit(0), F.col("at") + F.col("size")
     stop, wrapped = F.col("first") + F.col("run"), F.col("first") + F.col("run") - F.col("shard_size")
@@ -137,7 +149,7 @@ def mix(
         .join(shards, ["source_no", "shard"])
         .withColumns({"_straight": straight, "_around": around})
         .select(
-            "doc_id", "size", "source_size", "target",
+            "doc_id", *row, "size", "source_size", "target",
             (F.col("passes") * F.col("size") + F.col("_straight") + F.col("_around")).cast("long").alias("taken"),
             F.when(F.col("_straight") > 0, F.greatest(F.col("first") - F.col("at"), zero)).otherwise(zero).cast("long").alias("run_first"),
         )

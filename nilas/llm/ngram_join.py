@@ -14,9 +14,14 @@
 With 32 bands of 4 rows a pair at the threshold of 0.8 shares no bucket with a
 probability of 5e-8, and pruning loses it with at most about `tolerance`.
 
-A null or empty text has no shingles and links with nothing. A null id is
-replaced by a negative number made from the text. Repeated rows are copies:
-they share a class and count as links of one another.
+A null, empty or blank text has no shingles and links with nothing. Texts of any
+length are read whole. A null id is replaced by a negative number made from the
+text. Repeated rows are copies: they share a class and count as links of one
+another. An id on several texts names several documents, each with the class of
+its own text. A class is named by its smallest id, and of its rows exactly one
+is kept: of that id, and of several such rows the one of the least text hash
+and row number. An empty table gives an empty one. Only the named columns are
+read, so others may clash with the output's names.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nilas.llm.common import dealt_anew, row_key, written
-from nilas.llm.components import components, forest
+from nilas.llm.common import dealt_anew, discard, row_key, written
+from nilas.llm.components import components, forest, labelled
 
 BANDS, ROWS = 32, 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -122,7 +127,7 @@ def least_matches(threshold: float, tolerance: float, slice_size: int, total: in
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """Per row: key, class hashes, number of shingles, signature and band keys."""
+    """docs: id, th, row, text. Per row: id, th, row, class hashes, number of shingles and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -130,18 +135,18 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 c1, c2, n, sig = [], [], [], []
-                for text in b.column(1).to_pylist():
+                for text in b.column(3).to_pylist():
                     x = shingler.shingles(text)
                     n.append(len(x))
                     c1.append(int(mixed(x).sum(dtype=np.uint64).view(np.int64)))
                     c2.append(int(mixed(x ^ MIX).sum(dtype=np.uint64).view(np.int64)))
                     sig.append(signature(x).tobytes() if len(x) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())],
-                    names=["id", "c1", "c2", "n", "sig"],
+                    [*b.columns[:3], pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())],
+                    names=["id", "th", "row", "c1", "c2", "n", "sig"],
                 )
 
-    return docs.mapInArrow(run, "id long, c1 long, c2 long, n long, sig binary")
+    return docs.mapInArrow(run, "id long, th long, row long, c1 long, c2 long, n long, sig binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -150,10 +155,10 @@ def bands(reps: DataFrame) -> DataFrame:
             ids = b.column(0).to_numpy()
             keys = [band_keys(np.frombuffer(x, dtype=np.uint32)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, BANDS)), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], names=["id", "key"]
+                [pa.array(np.repeat(ids, BANDS)), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], names=["node", "key"]
             )
 
-    return reps.select("id", "sig").mapInArrow(run, "id long, key long")
+    return reps.select("node", "sig").mapInArrow(run, "node long, key long")
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray], want: np.ndarray) -> np.ndarray:
@@ -208,9 +213,9 @@ def linked(
 
 
 def join_tiles(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """rows: key columns (comp, i, j), tile, id, copies, sig, sets; sorted by key in each partition.
+    """rows: key columns (comp, i, j), tile, node, copies, sig, sets; sorted by key in each partition.
 
-    Returns id, links (copies of linked representatives in this pair of tiles) and root (least id reached in it).
+    Returns node, links (copies of linked representatives in this pair of tiles) and root (least node reached in it).
     """
 
     def solve(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
@@ -251,7 +256,7 @@ def join_tiles(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame
         def batch() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "links", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "links", "root"])
 
         for row in rows_of():
             if group and group[0][0] != row[0]:
@@ -265,7 +270,7 @@ def join_tiles(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame
             out.extend(solve(group))
         yield batch()
 
-    return rows.mapInArrow(run, "id long, links long, root long")
+    return rows.mapInArrow(run, "node long, links long, root long")
 
 
 def similar(
@@ -278,55 +283,61 @@ def similar(
     tolerance: float = 1e-6,
     tile_rows: int = 512,
     tile_bytes: int = 4 << 20,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, class_id (least id of the component), n_links (other rows linked directly) and kept (doc_id = class_id)."""
-    slim = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """doc_id, class_id (least id of the component), n_links (other rows linked directly) and kept (true for one row of a class).
+
+    row_col: a column of unique numbers, which is then returned too, as `row`.
+    """
+    slim = docs.select(
+        row_key(F.col(id_col), F.col(text_col)).alias("id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).cast("long").alias("row"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
     found = written(features(slim, words), "features")
     some = F.col("n") > 0
-    reps = written(
-        found.where(some).groupBy("c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")),
-        "classes",
-    )
+    one = F.min(F.struct("id", "th", "row")).alias("one")
+    reps = found.where(some).groupBy("c1", "c2").agg(one, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
     keyed = bands(reps)
-    least = keyed.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("_n")).where(F.col("_n") > 1)
-    near = keyed.join(dealt_anew(least).select("key", "v"), "key").select(F.col("id").alias("u"), "v")
-    groups = components(near).select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    members = groups.join(reps.select("id", "copies", "n", "sig"), "id")
-    sizes = groups.join(reps.select("id", "n"), "id").groupBy("comp").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("_n")).where(F.col("_n") > 1)
+    near = keyed.join(dealt_anew(least).select("key", "v"), "key").select(F.col("node").alias("u"), "v")
+    groups = components(near).select("node", F.col("component").alias("comp"))
+    members = groups.join(reps.select("node", "one.id", "one.th", "copies", "n", "sig"), "node")
+    sizes = groups.join(reps.select("node", "n"), "node").groupBy("comp").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
     tiles = F.greatest(F.ceil(F.col("_m") / tile_rows), F.ceil(8 * F.col("_s") / tile_bytes)).cast("int")
-    members = members.join(sizes.select("comp", tiles.alias("tiles")), "comp").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    members = members.join(sizes.select("comp", tiles.alias("tiles")), "comp").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
 
     # The sets of the members, from their texts; only one text of each class is read on.
-    texts = slim.join(members, "id").select("comp", "tiles", "tile", "id", "copies", "sig", "n", "text")
+    texts = slim.drop("row").join(members, ["id", "th"]).select("comp", "tiles", "tile", "node", "copies", "sig", "n", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for whole in batches:
+            _, first = np.unique(whole.column(3).to_numpy(), return_index=True)  # of repeated rows one is enough
+            whole = whole.take(pa.array(np.sort(first)))
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 x = [shingler.shingles(t) for t in b.column(7).to_pylist()]
                 ok = pa.array([len(s) == n and signature(s).tobytes() == g for s, n, g in zip(x, b.column(6).to_pylist(), b.column(5).to_pylist(), strict=True)], pa.bool_())
                 cols = [*b.columns[:6], pa.array([s.tobytes() for s in x], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["comp", "tiles", "tile", "id", "copies", "sig", "sets"]).filter(ok)
+                yield pa.RecordBatch.from_arrays(cols, names=["comp", "tiles", "tile", "node", "copies", "sig", "sets"]).filter(ok)
 
-    kinds = "comp long, tiles int, tile int, id long, copies long, sig binary, sets binary"
+    kinds = "comp long, tiles int, tile int, node long, copies long, sig binary, sets binary"
     full = texts.mapInArrow(sets, kinds)
     other = full.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = other.select("comp", F.least("tile", "_o").alias("i"), F.greatest("tile", "_o").alias("j"), "tile", "id", "copies", "sig", "sets")
-    links = written(join_tiles(pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "tile", "id"), threshold, tolerance), "links")
-
-    counts = links.groupBy("id").agg(F.sum("links").alias("links"))
-    final = components(links.select(F.col("id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("id"), "component")
-    by_class = (
-        reps.select("c1", "c2", "id", "copies")
-        .join(counts, "id", "left")
-        .join(final, "id", "left")
-        .select("c1", "c2", F.coalesce("component", "id").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
-    )
-    out = found.select("id", "c1", "c2", "n").join(by_class, ["c1", "c2"], "left")
+    pairs = other.select("comp", F.least("tile", "_o").alias("i"), F.greatest("tile", "_o").alias("j"), "tile", "node", "copies", "sig", "sets")
+    links = written(join_tiles(pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "tile", "node"), threshold, tolerance), "links")
+
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
+    by_class = written(labelled(reps.select("c1", "c2", "node", "copies", "one"), counts, links), "labels")
+    discard(reps, links)
+    out = found.select("id", "th", "row", "c1", "c2", "n").join(by_class, ["c1", "c2"], "left")
     return out.select(
         F.col("id").alias("doc_id"),
-        F.when(some, F.col("_class")).otherwise(F.col("id")).alias("class_id"),
-        F.when(some, F.col("_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(some, F.col("_class") == F.col("id")).otherwise(F.lit(True)).alias("kept"),
+        *["row"] * (row_col is not None),
+        F.when(some, F.col("first.id")).otherwise(F.col("id")).alias("class_id"),
+        F.when(some, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(some, F.struct("id", "th", "row") == F.col("first")).otherwise(F.lit(True)).alias("kept"),
     )

@@ -120,7 +120,8 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY r, doc_id""",
     "op8_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    coalesce(CAST(doc_id AS VARCHAR), '') || ':' || substr(md5(coalesce(text, '')), 1, 16) AS name FROM documents
 ), bysource AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), named AS (
   SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_no FROM bysource
@@ -145,7 +146,7 @@ WITH sized AS (
     any_value(low) + count(*) FILTER (WHERE place <= open) AS blocks,
     greatest(1, CAST(ceil(any_value(source_size) / 1048576.0) AS BIGINT)) AS shards FROM won GROUP BY source_no
 ), rws AS (
-  SELECT s.doc_id, s.size, q.*, CAST('0x' || substr(md5('11:shard:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) % shards AS shard
+  SELECT s.doc_id, s.size, s.name, q.*, CAST('0x' || substr(md5('11:shard:' || name), 1, 12) AS BIGINT) % shards AS shard
   FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
 ), sh AS (SELECT source_no, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(blocks) AS blocks FROM rws GROUP BY ALL
 ), srange AS (
@@ -165,7 +166,7 @@ WITH sized AS (
     CAST('0x' || substr(md5('11:block:' || source_no || ':' || shard), 1, 12) AS BIGINT) % CAST(ceil(greatest(shard_size, 1) / 8.0) AS BIGINT) * 8 AS first
   FROM squotas
 ), placed AS (
-  SELECT *, CAST(sum(size) OVER (PARTITION BY source_no, shard ORDER BY md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source_no, shard ORDER BY md5('11:' || name), doc_id, size
     ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a FROM rws
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(passes * size

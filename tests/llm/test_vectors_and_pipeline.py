@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from nilas.llm import embedding_join, topk
 from nilas.llm.common import row_key
+from nilas.llm.ngram_join import similar
 from nilas.llm.components import components, forest
 from tests.llm.hard import SCHEMA, rows
 from tests.llm.test_text_operators import brute_links, check_packing, least_reached
@@ -42,11 +43,11 @@ def test_top_k(spark, shard, block):
     assert topk.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 50 == 0).count() == 0
 
 
-@pytest.mark.parametrize(("blocks", "tile"), [(4, 6144), (2, 40)])
-def test_embedding_join(spark, blocks, tile):
+@pytest.mark.parametrize(("blocks", "options"), [(4, {}), (2, {"tile_rows": 40}), (3, {"tile_rows": 9, "cell_rows": 20})])
+def test_embedding_join(spark, blocks, options):
     data = vectors(250, 12, 2)
     df = spark.createDataFrame(data, VECTORS)
-    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_join.near(df, blocks=blocks, tile_rows=tile).collect())
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_join.near(df, blocks=blocks, **options).collect())
     null_id = df.where("vec_id IS NULL").select((-F.lit(1) - F.shiftrightunsigned(F.xxhash64(F.col("embedding").cast("array<double>")), 1))).first()[0]
     ids = [null_id if i is None else i for i, *_ in data]
     x = [np.array(v, dtype=np.float32).astype(float) if v and all(c is not None and np.isfinite(c) for c in v) and any(v) else None for _, v, *_ in data]
@@ -65,6 +66,26 @@ def test_embedding_join(spark, blocks, tile):
     assert embedding_join.near(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_cells_hold_all_partners():
+    rng = np.random.default_rng(3)
+    y, pivots = rng.standard_normal((300, 3)), rng.standard_normal((12, 3))
+    row, cell = embedding_join.cells_of(y, pivots, 0.4)
+    home, at = cell[:300], set(zip(row.tolist(), cell.tolist(), strict=True))
+    for i, j in np.argwhere(((y[:, None] - y[None]) ** 2).sum(axis=2) <= 0.16):
+        last = max(home[i], home[j])
+        assert (i, last) in at and (j, last) in at
+    assert len(at) == len(row) < 300 * 12 / 2
+
+
+def test_an_id_on_several_vectors(spark):
+    data = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.99, 0.1, 0.0]), (3, [0.0, 0.0, 1.0]), (3, [0.0, 0.0, 1.0])]
+    for kind in ("float", "double"):
+        got = Counter(tuple(r) for r in embedding_join.near(spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>")).collect())
+        assert got == {(1, 1, 1, True): 1, (1, 0, 1, True): 1, (2, 1, 1, False): 1, (3, 1, 3, True): 2}
+    found = Counter((r["query_id"], r["vec_id"]) for r in topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") == 2).collect())
+    assert found == {(2, 1): 2, (2, 3): 1}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(i, i + 1) for i in range(200, 260)] + [(500, i) for i in range(501, 600)]
@@ -152,6 +173,21 @@ def test_unlike_documents_of_one_id_stay(spark):
     assert got == {(3, c): 1, (None, ""): 1, (None, None): 1, (5, ""): 1}
 
 
+def test_an_id_on_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (2, a + " x"), (3, "")], "doc_id long, text string")
+    got = Counter(tuple(r) for r in similar(docs).collect())
+    assert got == {(1, 1, 2, True): 1, (1, 1, 0, True): 1, (2, 1, 2, False): 2, (3, 3, 0, True): 1}
+
+
+def test_mix_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "a", 5)] * 4 + [(2, text, "en", "b", 5), (None, "x y", "en", "b", 5)], SCHEMA.split(", score")[0])
+    got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert abs(sum(len(r["text"].split()) for r in got) - 302) <= 16
+    assert max(Counter(r["doc_id"] for r in got if r["text"] == text).values()) <= 12
+
+
 def test_stages_take_hard_and_empty_tables(spark):
     for table in (rows(), []):
         docs = spark.createDataFrame(table, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
