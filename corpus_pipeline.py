@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nilas.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from nilas.llm.common import hash128, read_table, row_key, written
+from nilas.llm.common import read_table, written
 from nilas.llm.queries import held_out, vocabulary
 
 
@@ -27,34 +27,27 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_text(line_dedup.dedup_lines(docs), docs.columns)
 
 
-def apart(docs: DataFrame) -> DataFrame:
-    """Adds `_id`: row_key, or where one key stands on different texts a negative number made from the id and the text."""
-    text = [F.col("text").isNull(), F.coalesce("text", F.lit(""))]
-    keyed = docs.withColumn("_id", row_key(F.col("doc_id"), F.col("text")))
-    ends = [f(h) for h in hash128(text) for f in (F.min, F.max)]
-    shared = keyed.groupBy("_id").agg(((ends[0] != ends[1]) | (ends[2] != ends[3])).alias("_shared")).where("_shared")
-    own = -F.lit(1) - F.shiftrightunsigned(F.xxhash64(F.lit(29), "doc_id", *text), 1)
-    return keyed.join(shared, "_id", "left").withColumn("_id", F.when(F.col("_shared"), own).otherwise(F.col("_id"))).drop("_shared")
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id (of ids on several texts, of those first), of each group of linked ones."""
-    keyed = written(apart(docs), "keyed")
-    kept = ngram_join.similar(keyed.drop("doc_id"), id_col="_id").where("kept").select(F.col("doc_id").alias("_id"))
-    return keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(docs.columns)
+    """One row, the one of the smallest id, of each group of linked documents; rows are told apart by a number, not by id."""
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    kept = ngram_join.similar(keyed, row_col="_row").where("kept").select(F.col("row").alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole copies, and the run of words of one that is taken in part."""
-    keyed = docs.withColumn("_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
-    taken = mixing.mix(keyed, id_col="_key").where("taken > 0").select(F.col("doc_id").alias("_key"), "size", "taken", "run_first")
+    """Documents as often as the mix takes them: whole copies, and the run of words of one that is taken in part.
+
+    Repeated rows are documents of their own; rows are told apart by a number, not by id.
+    """
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = mixing.mix(keyed, row_col="_row").where("taken > 0").select(F.col("row").alias("_row"), "size", "taken", "run_first")
     words = F.regexp_extract_all("text", F.lit(f"{mixing.WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
     rest, first = (F.col("taken") % F.col("size")).cast("int"), F.col("run_first").cast("int")
     straight = F.least(rest, F.col("size").cast("int") - first)
     run = F.array_join(F.concat(F.slice(words, first + 1, straight), F.slice(words, F.lit(1), rest - straight)), "")
     copies = F.array_repeat("text", F.floor(F.col("taken") / F.col("size")).cast("int"))
     texts = F.when(rest > 0, F.concat(copies, F.array(run))).otherwise(copies)
-    mixed = keyed.join(taken, "_key").withColumn("text", F.explode(texts))
+    mixed = keyed.join(taken, "_row").withColumn("text", F.explode(texts))
     return with_text(mixed, docs.columns)
 
 
