@@ -6,7 +6,12 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-METHODS = {"raw": "raw", "binary-days": "binary-days", "binary_days": "binary-days", "rolling-mean": "rolling-mean", "rolling_mean": "rolling-mean"}
+#: The spellings of methods, hemispheres and frequencies.
+METHODS = {
+    "raw": "raw", "daily": "raw", "day": "raw",
+    "bin-days": "binary-days", "binary-days": "binary-days", "binary_days": "binary-days", "binary": "binary-days", "bin": "binary-days",
+    "roll-mean": "rolling-mean", "rolling-mean": "rolling-mean", "rolling_mean": "rolling-mean", "rolling": "rolling-mean", "roll": "rolling-mean",
+}
 HEMISPHERES = {"sh": "SH", "south": "SH", "southern": "SH", "s": "SH", "nh": "NH", "north": "NH", "northern": "NH", "n": "NH"}
 FREQUENCIES = {
     "d": "daily", "day": "daily", "days": "daily", "daily": "daily", "h": "hourly", "hour": "hourly", "hours": "hourly", "hourly": "hourly",
@@ -62,12 +67,24 @@ def grid_types(value: str | Iterable[str] | None) -> tuple[str, ...]:
     return out
 
 
-def threshold_tag(value: float) -> str:
-    """5e-4 as '5.0e-4'."""
-    mantissa, power = f"{value:.1e}".split("e")
+def threshold_tag(value: float, decimals: int = 1) -> str:
+    """5e-4 as '5.0e-4', without decimals as '5e-4'."""
+    mantissa, power = f"{value:.{decimals}e}".split("e")
     return f"{mantissa}e{int(power)}"
 
 
+def method_folder(name: str, cls: Classification) -> str:
+    """The folder of a method and its settings."""
+    kind = method(name)
+    if kind == "binary-days":
+        return f"bin-win-{cls.window:02d}_bin-min-{cls.least:02d}"
+    return kind if kind == "raw" else f"roll-days-{cls.mean_window}"
+
+
+def method_slug(name: str) -> str:
+    return method(name).replace("-", "_")
+
+
 def natural_key(text: str) -> list:
     return [int(p) if p.isdigit() else p.lower() for p in re.split(r"(\d+)", text)]
 
@@ -88,6 +105,7 @@ class Classification:
         return max(self.window, self.mean_window) // 2
 
 
+#: The names of metrics.
 DOMAINS = {"F": "fast", "P": "pack", "S": "sea"}
 CORE = ("IA", "IV", "IT", "IP", "IS", "ITVR", "IMVR", "ITAR", "IMAR")
 SPATIAL = ("IHI", "IST", "ITVR_YR", "IMVR_YR", "ITAR_YR", "IMAR_YR")

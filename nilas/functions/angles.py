@@ -27,9 +27,13 @@ def circular_mean(lon: Column) -> Column:
     return F.degrees(F.atan2(F.avg(F.sin(r)), F.avg(F.cos(r))))
 
 
-def as_degrees(angle: Column, greatest: Column) -> Column:
-    """Radians are told by their range."""
-    return F.when(greatest <= 2 * math.pi + 1e-6, F.degrees(angle)).otherwise(angle)
+def as_degrees(angle: Column, greatest: Column, units: Column | None = None) -> Column:
+    """Radians are told by their units, or where these say nothing by their range."""
+    by_range = F.when(greatest <= 2 * math.pi + 1e-6, F.degrees(angle)).otherwise(angle)
+    if units is None:
+        return by_range
+    u = F.lower(units)
+    return F.when(u.contains("radian"), F.degrees(angle)).when(u.contains("degree"), angle).otherwise(by_range)
 
 
 def unit_xyz(lon: Column, lat: Column) -> tuple[Column, Column, Column]:

@@ -14,8 +14,8 @@ def _clean(units: Column) -> Column:
 
 def thickness_rate_m_day(value: Column, units: Column) -> Column:
     """Metres a day; unknown units are taken for centimetres a day."""
-    u = _clean(units)
-    return F.when(u.isin("m/day", "m day-1"), value).when(u.isin("m/s", "m s-1"), value * 86400.0).otherwise(value / 100.0)
+    u = F.regexp_replace(F.lower(units), r"\s", "")
+    return F.when(u.isin("m/day", "mday-1", "md-1"), value).when(u.isin("m/s", "ms-1"), value * 86400.0).otherwise(value / 100.0)
 
 
 def _square(units: Column) -> Column:

@@ -9,6 +9,10 @@ from nilas.nulls import ratio, zsum
 from nilas.operators.predicates import in_box
 
 
+#: Rows that are broadcast without a second thought.
+FEW = 10_000
+
+
 def area(mask: Column, sic: Column, cell: Column, scale: float = 1e9) -> Column:
     return zsum(F.when(mask, sic).otherwise(0.0) * cell) / scale
 
@@ -71,8 +75,11 @@ def skill(model: Column, obs: Column) -> dict[str, Column]:
 
 
 def with_regions(df: DataFrame, boxes: DataFrame, lon: str, lat: str) -> DataFrame:
-    """Range join to named boxes (few by definition): inclusive edges, so a cell can be in two or none."""
-    b = F.broadcast(boxes)
+    """Range join to named boxes: inclusive edges, so a cell can be in two or none.
+
+    Boxes are broadcast up to FEW; more are left to the planner.
+    """
+    b = F.broadcast(boxes) if boxes.limit(FEW + 1).count() <= FEW else boxes
     return df.join(b, in_box(F.col(lon), F.col(lat), b["lon_min"], b["lon_max"], b["lat_min"], b["lat_max"]))
 
 

@@ -118,3 +118,31 @@ def triples(df: DataFrame, lon: str, lat: str, value: str, drop_zero: bool = Fal
     v = F.col(value)
     fine = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     return df.where(fine & (v != 0) if drop_zero else fine).select(F.col(lon).alias("lon"), F.col(lat).alias("lat"), v.alias("value"))
+
+
+def in_sector(lon: Column, lat: Column, box: tuple[float, float, float, float], hemisphere: str | None = "SH", ocean: Column | None = None) -> Column:
+    """Within a box (lon_min, lon_max, lat_min, lat_max), edges and the equator included, and on ocean cells where a mask is given."""
+    inside = in_box(lon, lat, *map(F.lit, box))
+    if hemisphere is not None:
+        inside &= in_hemisphere_slice(lat, hemisphere)
+    return inside if ocean is None else inside & F.coalesce(ocean, F.lit(False))
+
+
+def best_half(df: DataFrame, hemisphere: str, j: str = "nj", lat: str = "lat", value: str = "aice", time: str = "time") -> DataFrame:
+    """The half of a grid's rows that lies in a hemisphere, or all of it.
+
+    Halves score by their share of cells in the hemisphere, and a twentieth of
+    their share of cells with a value on the first day; a half is taken if half
+    of it at least lies there and it scores more than the other one.
+    """
+    rows = df.agg((F.max(j) + 1).alias("_rows"), F.min(time).alias("_first"))
+    half = F.when(F.col(j) < F.col("_rows") / 2, 0).otherwise(1)
+    there, known = in_hemisphere(F.col(lat), hemisphere).cast("double"), F.when(F.col(time) == F.col("_first"), F.col(value).isNotNull().cast("double"))
+    halved = df.join(F.broadcast(rows)).withColumn("_half", half)  # one row
+    score = halved.groupBy("_half").agg(F.avg(there).alias("_hemi"), F.first("_rows").alias("_n"), F.coalesce(F.avg(known), F.lit(0.0)).alias("_known"))
+    total = F.col("_hemi") + 0.05 * F.col("_known")
+    one = score.agg(
+        F.max_by("_half", total).alias("_best"), F.max_by("_hemi", total).alias("_h"), F.max(total).alias("_t"), F.min(total).alias("_o"), F.max("_n").alias("_all")
+    )
+    crop = (F.col("_all") >= 2) & (F.col("_all") % 2 == 0) & (F.col("_h") >= 0.5) & (F.col("_t") > F.col("_o"))
+    return halved.join(F.broadcast(one)).where(~crop | (F.col("_half") == F.col("_best"))).select(df.columns)

@@ -109,3 +109,14 @@ def by_alias(value: Column, names: dict[str, str]) -> Column:
     """The canonical name of each alias, NULL for unknown ones."""
     pairs = [F.lit(x) for pair in names.items() for x in pair]
     return F.try_element_at(F.create_map(*pairs), F.replace(F.lower(F.trim(value)), F.lit("_"), F.lit("-")))
+
+
+def file_token(value: Column) -> Column:
+    """A name that is safe in paths: letters, digits, dots, dashes and single underscores."""
+    safe = F.regexp_replace(F.regexp_replace(F.trim(value), r"\s+", "_"), "[^A-Za-z0-9_.-]+", "_")
+    return F.regexp_replace(F.regexp_replace(safe, "_+", "_"), "^_+|_+$", "")
+
+
+def natural_key(text: Column) -> Column:
+    """Sorts runs of digits as numbers, letters without case: run2 before run10."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\d+|\D+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x))

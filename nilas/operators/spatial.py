@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nilas.functions.angles import EARTH_KM, chord_km, unit_xyz
+from nilas.functions.angles import EARTH_KM, chord_km, circular_mean, lon360, polar_lonlat, unit_xyz
 
 
 def neighbours(targets: DataFrame, sources: DataFrame, k: int, radius_km: float) -> DataFrame:
@@ -199,3 +199,35 @@ def raster_centres(extents: DataFrame, pixel: float) -> DataFrame:
     e = extents.select("*", *[F.floor(F.col(c) / pixel).cast("int").alias(f"_{c}") for c in ("x_min", "y_min")], *[F.ceil(F.col(c) / pixel).cast("int").alias(f"_{c}") for c in ("x_max", "y_max")])
     grid = e.withColumn("_i", F.explode(F.sequence("_x_min", F.col("_x_max") - 1))).withColumn("_j", F.explode(F.sequence("_y_min", F.col("_y_max") - 1)))
     return grid.select(*extents.columns, (F.col("_y_max") - 1 - F.col("_j")).alias("row"), ((F.col("_i") + 0.5) * pixel).alias("x"), ((F.col("_j") + 0.5) * pixel).alias("y"))
+
+
+def grid_corners(centres: DataFrame, j: str = "nj", i: str = "ni") -> DataFrame:
+    """Corners of a grid from its centres (lon, lat): the mean of the centres around each, four inside, two on an edge, one at a corner."""
+    shifts = F.array(*[F.struct((F.col(j) + a).alias("j"), (F.col(i) + b).alias("i")) for a in (0, 1) for b in (0, 1)])
+    met = centres.select("lon", "lat", F.explode(shifts).alias("c")).select("lon", "lat", F.col("c.j").alias(j), F.col("c.i").alias(i))
+    return met.groupBy(j, i).agg(lon360(circular_mean(F.col("lon"))).alias("lon"), F.avg("lat").alias("lat"))
+
+
+def grid_faces(centres: DataFrame, j: str = "nj", i: str = "ni") -> DataFrame:
+    """Mid-points of the grid lines' pieces: face 'e' between two corners of one column, 'n' between two of one row."""
+    c = grid_corners(centres, j, i)
+    parts = []
+    for face, a, b in (("e", 1, 0), ("n", 0, 1)):
+        ends = c.select("lon", "lat", F.explode(F.array(F.struct(F.col(j).alias("j"), F.col(i).alias("i")), F.struct((F.col(j) - a).alias("j"), (F.col(i) - b).alias("i")))).alias("c"))
+        mid = ends.groupBy(F.col("c.j").alias(j), F.col("c.i").alias(i)).agg(F.count("*").alias("_n"), lon360(circular_mean(F.col("lon"))).alias("lon"), F.avg("lat").alias("lat"))
+        parts.append(mid.where(F.col("_n") == 2).select(F.lit(face).alias("face"), j, i, "lon", "lat"))
+    return parts[0].union(parts[1])
+
+
+def onto_raster(sources: DataFrame, raster: DataFrame, radius_km: float, value: str = "value", fill: float | None = None) -> DataFrame:
+    """The nearest source's value for each centre of a polar stereographic raster (x, y), `fill` where none is within the radius.
+
+    sources: src_id, lon, lat and the value, which may be of many days: the
+    nearest source is found once for each pixel.
+    """
+    lon, lat = polar_lonlat(F.col("x"), F.col("y"))
+    pixels = raster.withColumn("tgt_id", F.struct("x", "y")).withColumns({"lon": lon, "lat": lat})
+    points = sources.select("src_id", "lon", "lat").distinct()
+    near = neighbours(pixels.select("tgt_id", "lon", "lat"), points, 1, radius_km).select("tgt_id", "src_id")
+    out = pixels.join(near, "tgt_id", "left").join(sources.drop("lon", "lat"), "src_id", "left")
+    return out.drop("tgt_id", "src_id").withColumn(value, F.coalesce(F.col(value), F.lit(fill)) if fill is not None else F.col(value))

@@ -55,6 +55,16 @@ def extrema_table(df: DataFrame, time: str, value: str, antarctic: bool = False)
     return shaped(years, F.col("year").cast("string")).union(shaped(mean, F.lit("MEAN"))).union(shaped(overall, F.lit("OVERALL")))
 
 
+def extrema_rows(tables: dict[str, DataFrame], antarctic: bool = False) -> DataFrame:
+    """Extrema tables of several series (name: time, v), by name; years in order, then MEAN and OVERALL."""
+    parts = [extrema_table(d, "time", "v", antarctic).withColumn("name", F.lit(n)) for n, d in tables.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    whole = whole.withColumn("year_start", F.when(F.col("period").rlike("^[0-9]{4}"), F.substring("period", 1, 4)).cast("int"))
+    return whole.orderBy("name", F.col("year_start").asc_nulls_last(), "period")
+
+
 def season_slopes(df: DataFrame, time: str, value: str, keys: list[str], months: tuple[int, ...], least: int = 20) -> DataFrame:
     """Per season: points, first and last value, change per day. Seasons of too few points or months are left out."""
     t, v = F.col(time), F.col(value)

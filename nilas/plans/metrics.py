@@ -46,6 +46,11 @@ def stress_metric(name: str, have: set[str]) -> Column:
     return agg.weighted_mean(mask, value, area, absolute=statistic == "abs_mean")
 
 
+def thickness_rate(column: str, have: set[str]) -> Column:
+    """Metres a day by the units that the column <name>_units holds; centimetres a day where there is none."""
+    return units.thickness_rate_m_day(F.col(column), F.col(f"{column}_units") if f"{column}_units" in have else F.lit("cm/day"))
+
+
 def series_metric(name: str, have: set[str] = frozenset()) -> Column:
     """The aggregate of a time series metric; `have` are the table's columns."""
     domain, what = name[0], name[1:]
@@ -60,7 +65,7 @@ def series_metric(name: str, have: set[str] = frozenset()) -> Column:
     if what == "IS":
         return agg.strength(mask, F.col("strength"), aice, hi, area)
     if what in ("ITVR", "IMVR"):
-        return agg.volume_rate(mask, units.thickness_rate_m_day(F.col(RATES[what]), F.lit("cm/day")), aice, area)
+        return agg.volume_rate(mask, thickness_rate(RATES[what], have), aice, area)
     if what in ("ITAR", "IMAR"):
         return agg.area_rate(mask, F.col(RATES[what]), area)
     if what in config.STRESS:
@@ -70,7 +75,7 @@ def series_metric(name: str, have: set[str] = frozenset()) -> Column:
     raise ValueError(f"unknown metric: {name!r}")
 
 
-def map_metric(name: str) -> Column:
+def map_metric(name: str, have: set[str] = frozenset()) -> Column:
     """The aggregate of a metric per cell."""
     domain, what = name[0], name[1:]
     mask = F.col(MASKS[domain])
@@ -80,7 +85,7 @@ def map_metric(name: str) -> Column:
         return F.avg(F.when(mask, F.col({"IHI": "hi", "IST": "strength"}[what])))
     rate = RATES.get(what.removesuffix("_YR"))
     if rate and what.endswith("_YR"):
-        return agg.mean_rate(mask, units.thickness_rate_m_day(F.col(rate), F.lit("cm/day")), F.col("area") if "AR" in what else None)
+        return agg.mean_rate(mask, thickness_rate(rate, have), F.col("area") if "AR" in what else None)
     raise ValueError(f"unknown metric: {name!r}")
 
 
@@ -140,12 +145,12 @@ def compute(df: DataFrame, names: list[str], cell: str = "cell", regions: DataFr
     if series:
         parts.append(long(by_time, ["time"], series))
     if maps:
-        parts.append(long(df.groupBy(cell).agg(*[map_metric(n).alias(n) for n in maps]), [cell], maps))
+        parts.append(long(df.groupBy(cell).agg(*[map_metric(n, have).alias(n) for n in maps]), [cell], maps))
     if regional:
         if regions is None:
             raise ValueError("regional metrics need regions")
         boxed = agg.with_regions(df, regions, "lon", "lat")
-        made = boxed.groupBy("time", "region").agg(*[series_metric(n.removesuffix("_by_region")).alias(n) for n in regional])
+        made = boxed.groupBy("time", "region").agg(*[series_metric(n.removesuffix("_by_region"), have).alias(n) for n in regional])
         parts.append(long(made, ["time", "region"], regional))
     for parent in dict.fromkeys(n[:3] for n in scalars):
         mine = [n for n in scalars if n.startswith(parent)]

@@ -653,9 +653,13 @@ def o05_o06_latest_and_first(t: Tables) -> DataFrame:
     return t.read("orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest"), F.min("o_orderkey").alias("first_key"))
 
 
-@query("SELECT s_suppkey, s_name, CAST(regexp_extract(s_name, '(\\d+)$', 1) AS INTEGER) AS n FROM supplier ORDER BY n")
+@query(r"""WITH n AS (SELECT c_custkey, 'Run' || CAST(c_custkey * 37 % 1009 AS VARCHAR) || ['b', 'A', ''][c_custkey % 3 + 1] || CAST(c_custkey AS VARCHAR) AS name FROM customer)
+SELECT c_custkey, name, CAST(row_number() OVER (ORDER BY list_transform(regexp_extract_all(lower(name), '\d+|\D+'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(x, 20, '0') ELSE x END)) AS BIGINT) AS place FROM n""")
 def o03_natural_order(t: Tables) -> DataFrame:
-    return t.read("supplier").select("s_suppkey", "s_name", F.regexp_extract("s_name", r"(\d+)$", 1).cast("int").alias("n")).orderBy("n")
+    k = C("c_custkey")
+    name = F.concat(F.lit("Run"), (k * 37 % 1009).cast("string"), F.get(F.array(F.lit("b"), F.lit("A"), F.lit("")), (k % 3).cast("int")), k.cast("string"))
+    runs = t.read("customer").select("c_custkey", name.alias("name")).orderBy(rel.natural_key(C("name")))
+    return runs.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
 
 
 @query(f"""WITH {STATIONS} SELECT src_id, CASE WHEN (lon + 400 + 180) % 360 < 0 THEN (lon + 580) % 360 + 360 ELSE (lon + 580) % 360 END - 180 AS lon180, ((lon % 360) + 360) % 360 AS lon360,
@@ -670,15 +674,16 @@ def f04_circular_mean(t: Tables) -> DataFrame:
     return t.read("supplier").groupBy(C("s_nationkey").alias("k")).agg(angles.circular_mean(C("s_suppkey") % 90).alias("lon"))
 
 
-@query("""WITH u AS (SELECT p_partkey, p_retailprice AS v, ['m/day', 'cm/day', 'm/s', 'odd'][p_partkey % 4 + 1] AS r, ['m2', 'km2', '1e3 km2', '1e6 km2'][p_partkey % 4 + 1] AS a, ['cm', 'km', 'm', 'odd'][p_partkey % 4 + 1] AS l FROM part)
-SELECT p_partkey, CASE r WHEN 'm/day' THEN v WHEN 'm/s' THEN v * 86400 ELSE v / 100 END AS rate, CASE a WHEN 'm2' THEN v / 1e12 WHEN 'km2' THEN v / 1e6 WHEN '1e3 km2' THEN v / 1e3 ELSE v END AS area6,
+@query("""WITH u AS (SELECT p_partkey, p_size, p_retailprice AS v, ['m/day', 'cm/day', 'm/s', 'odd', 'm d-1', 'MD-1', 'mday-1', 'm s-1', 'ms-1', 'cm day-1'][p_partkey % 10 + 1] AS r, ['m2', 'km2', '1e3 km2', '1e6 km2'][p_partkey % 4 + 1] AS a, ['cm', 'km', 'm', 'odd'][p_partkey % 4 + 1] AS l FROM part)
+SELECT p_partkey, CASE WHEN r IN ('m/day', 'm d-1', 'MD-1', 'mday-1') THEN v WHEN r IN ('m/s', 'm s-1', 'ms-1') THEN v * 86400 ELSE v / 100 END AS rate, CASE WHEN p_size > 25 THEN v / 1e4 ELSE v END AS from_cm2, CASE a WHEN 'm2' THEN v / 1e12 WHEN 'km2' THEN v / 1e6 WHEN '1e3 km2' THEN v / 1e3 ELSE v END AS area6,
   CASE a WHEN 'km2' THEN v * 1e6 ELSE v END AS m2, CASE l WHEN 'cm' THEN v / 100 WHEN 'km' THEN v * 1000 ELSE v END AS metres, least(greatest(v / 100, 0), 1) AS frac FROM u""")
 def f06_f12_units(t: Tables) -> DataFrame:
-    pick = lambda *n: F.get(F.array(*map(F.lit, n)), (C("p_partkey") % 4).cast("int"))
+    pick = lambda *n: F.get(F.array(*map(F.lit, n)), (C("p_partkey") % len(n)).cast("int"))
     v = C("p_retailprice")
-    r, a, m = pick("m/day", "cm/day", "m/s", "odd"), pick("m2", "km2", "1e3 km2", "1e6 km2"), pick("cm", "km", "m", "odd")
+    r, a, m = pick("m/day", "cm/day", "m/s", "odd", "m d-1", "MD-1", "mday-1", "m s-1", "ms-1", "cm day-1"), pick("m2", "km2", "1e3 km2", "1e6 km2"), pick("cm", "km", "m", "odd")
     return t.read("part").select(
-        "p_partkey", units.thickness_rate_m_day(v, r).alias("rate"), units.area_million_km2(v, a).alias("area6"), units.area_m2(v, a).alias("m2"),
+        "p_partkey", units.thickness_rate_m_day(v, r).alias("rate"),
+        units.area_from_cm2(v, F.when(C("p_size") > 25, 2e11).otherwise(1e11)).alias("from_cm2"), units.area_million_km2(v, a).alias("area6"), units.area_m2(v, a).alias("m2"),
         units.length_m(v, m).alias("metres"), units.fraction(v, F.lit("%"), F.lit(0.0)).alias("frac"),
     )
 

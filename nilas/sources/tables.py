@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nilas import config
@@ -61,6 +61,75 @@ def first_method(spark: SparkSession, root: str, methods: list[str]) -> DataFram
     return spark.read.parquet(root).where(F.col("method") == rel.resolve(there, tuple(map(config.method, methods))))
 
 
+def product(spark: SparkSession, root: str, names: dict[str, str] | None = None, first: date | None = None, last: date | None = None) -> DataFrame:
+    """A ready series or raster product by its canonical names, in days of a range if one is given."""
+    df = renamed(spark.read.parquet(root), names or {})
+    return df if first is None else df.where(pred.in_days(F.col("time"), first, last))
+
+
+def yearly(spark: SparkSession, root: str, first: date, last: date, needs: tuple[str, ...] = ()) -> DataFrame:
+    """Rasters that are stored by `year`: only the years of the range are read. A needed column that isn't there is an error."""
+    df = spark.read.parquet(root)
+    if missing := [c for c in needs if c not in df.columns]:
+        raise LookupError(f"{', '.join(missing)} not among {df.columns}")
+    return df.where(F.col("year").between(first.year, last.year) & pred.in_days(F.col("time"), first, last)).drop("year")
+
+
+#: The names that thickness and concentration go by in sensor files, in order of preference.
+THICKNESS = ("sea_ice_thickness", "sithick", "sit", "thickness")
+CONCENTRATION = ("sea_ice_concentration", "sea_ice_area_fraction", "siconc", "sic")
+
+
+def sensor_thickness(df: DataFrame, path: Column | None = None) -> DataFrame:
+    """A sensor's rows as time, cell, sit (finite and positive, else NULL) and sic (NULL where there is none); the time is the file's where the rows have none."""
+    sit = F.col(first_present(df, list(THICKNESS))).cast("float")
+    try:
+        sic = F.col(first_present(df, list(CONCENTRATION))).cast("float")
+    except LookupError:
+        sic = F.lit(None).cast("float")
+    time = F.col("time") if "time" in df.columns else calendar.date_in_name(path)
+    valid = (sit > 0) & ~F.isnan(sit) & (sit < float("inf"))
+    return df.select(time.cast("date").alias("time"), "cell", F.when(valid, sit).alias("sit"), sic.alias("sic"))
+
+
+def union_sources(parts: dict[str, DataFrame], axes: list[str], name: str = "source") -> DataFrame:
+    """All sources under one name column. Sources whose axes hold other values than the first one's are an error."""
+    whole = rel.stack(parts, name)
+    for axis in axes:
+        found = whole.groupBy(name).agg(F.array_sort(F.collect_set(axis)).alias("_a")).select(name, F.hash("_a").alias("_h")).collect()  # a row per source
+        if len({r["_h"] for r in found}) > 1:
+            raise ValueError(f"sources differ in {axis}")
+    return whole
+
+
+def grid_bundle(static: DataFrame, mask: DataFrame | None = None, bathymetry: DataFrame | None = None, keys: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """A grid's cells with their ocean mask and depth; where no mask is given, cells of positive depth are ocean."""
+    out = static
+    if bathymetry is not None:
+        out = out.join(bathymetry.select(*keys, "depth"), list(keys), "left")
+    if mask is not None:
+        return out.join(mask.select(*keys, "ocean"), list(keys), "left").na.fill({"ocean": False})
+    return out.withColumn("ocean", F.coalesce(F.col("depth") > 0, F.lit(False))) if bathymetry is not None else out
+
+
+def icebergs(spark: SparkSession, root: str, limit: float = -60.0) -> DataFrame:
+    """Grounded icebergs from CSV files with a header: id, lon and lat under any of their usual spellings, south of a limit."""
+    df = spark.read.option("header", True).csv(root)
+    lon, lat = (F.col(first_present(df, [n, n.upper(), f"{n}gitude" if n == "lon" else f"{n}itude"])).cast("double") for n in ("lon", "lat"))
+    return df.select(F.col(first_present(df, ["id", "name"])).alias("id"), lon.alias("lon"), lat.alias("lat")).where(lat <= limit)
+
+
+def polar_features(vertices: DataFrame, limit: float = -50.0) -> DataFrame:
+    """The vertices of features (feature, part, place, lon, lat) that have one at or beyond a latitude."""
+    kept = vertices.groupBy("feature", "part").agg(F.min("lat").alias("_l")).where(F.col("_l") <= limit)
+    return vertices.join(kept.select("feature", "part"), ["feature", "part"], "left_semi")
+
+
+def text(value: Column) -> Column:
+    """Byte strings as text, without the blanks and zero bytes around it."""
+    return F.btrim(F.decode(value, "UTF-8"), F.lit(" \t\n\r\x00"))
+
+
 def metrics(spark: SparkSession, root: str, names: list[str], first: date, last: date) -> DataFrame:
     df = spark.read.parquet(root).where(F.col("metric").isin(names))
     return pred.overlap_slice(df, "time", first, last)
