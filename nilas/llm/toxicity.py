@@ -6,14 +6,19 @@ beginnings with their log odds, learned from labelled documents; matches inside
 an exception phrase don't count. The score is a logistic function of whether
 anything matched and of the matched weight, plain and by length.
 
-Learning reads at most `most_labelled` labelled rows (those with the smallest
-hashes of their ids) and keeps at most `most_entries` entries, so all that
-reaches the driver is bounded by parameters. Scoring reads whole texts.
+Learning reads at most `most_labelled` labelled documents (the ids with the
+smallest hashes, and where an id stands on several texts the texts with the
+smallest), folds them once and counts on what it folded. That bound and the
+share of toxic documents that an entry stands in bound all that reaches the
+driver. Entries are whole words and beginnings of 4 to 8 letters, by rule.
+Scoring reads whole texts, however long.
 
 Null or empty text: no match, the score of a clean document. Null labels are
 not learned from; without labels of both kinds the lexicon is empty and every
 score is the share of toxic labels (0 if there are none). Repeated rows are
-scored alike. Only the named columns are read.
+scored alike, null ids stay null, an empty table gives an empty one. Ties of
+entries and phrases are broken by their letters. Only the named columns are
+read (`keep` passes others on), so others may clash with the output's names.
 """
 
 from __future__ import annotations
@@ -81,8 +86,7 @@ class Lexicon:
 
         return matches
 
-    def features(self, text: str, matches: Callable) -> tuple[float, float, float]:
-        folded = fold(text)
+    def features(self, folded: str, matches: Callable) -> tuple[float, float, float]:
         weight = sum(self.entries[e] for _, e in matches(folded))
         return float(weight > 0), float(np.log1p(weight)), float(np.log1p(100 * weight / (folded.count(" ") + 9)))
 
@@ -106,7 +110,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50
 
 
 def counted(sample: DataFrame, count: Callable[[Iterable[tuple[str, int]]], dict[str, Iterable[int]]], columns: tuple[str, ...]) -> DataFrame:
-    """Sums over the sample of what `count` finds in the (text, label) rows of one task."""
+    """Sums over the sample of what `count` finds in the (folded text, label) rows of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -118,12 +122,17 @@ def counted(sample: DataFrame, count: Callable[[Iterable[tuple[str, int]]], dict
     return made.groupBy("entry").agg(*[F.sum(c).alias(c) for c in columns])
 
 
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([fold(t) for t in b.column(0).to_pylist()], pa.string()), b.column(1)], names=["_text", "_y"])
+
+
 def beginnings(rows: Iterable[tuple[str, int]]) -> dict[str, tuple[int]]:
     """How many toxic documents hold each word and each beginning of four to eight letters."""
     n: Counter[str] = Counter()
     for text, label in rows:
         if label:
-            words = set(fold(text).split())
+            words = set(text.split())
             n.update({f" {w[:k]}" for w in words for k in range(4, min(9, len(w) + 1))} | {f" {w} " for w in words})
     return {k: (v,) for k, v in n.items()}
 
@@ -144,8 +153,6 @@ def learn(
     label_col: str = "toxic",
     train: Column | None = None,
     most_labelled: int = 20_000,
-    most_candidates: int = 20_000,
-    most_entries: int = 1_000,
     least_docs: int = 3,
     least_share: float = 0.01,
     least_weight: float = 2.5,
@@ -164,7 +171,10 @@ def learn(
     known = known.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(most_labelled)  # bounded, so it can be broadcast
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sample = written(texts.join(F.broadcast(known), "_id").select("_text", "_y").distinct(), "labelled")
+    met = texts.join(F.broadcast(known), "_id").select("_text", "_y").distinct()
+    sample = written(met.mapInArrow(folded, "_text string, _y int"), "labelled")
+    if sample.count() > most_labelled:  # an id on several texts
+        sample = written(sample.orderBy(F.xxhash64("_text"), "_text", "_y").limit(most_labelled), "labelled")
     sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -172,14 +182,14 @@ def learn(
         return Lexicon(model=(float(np.log((share + 1e-12) / (1 - share + 1e-12))), 0.0, 0.0, 0.0))
 
     first = counted(sample, beginnings, ("n",)).where(F.col("n") >= max(least_docs, least_share * toxic))
-    candidates = {r["entry"]: r["n"] for r in first.orderBy(F.col("n").desc(), "entry").limit(most_candidates).collect()}
+    candidates = {r["entry"]: r["n"] for r in first.collect()}  # a toxic document has few words of that share
     probe = Lexicon({c: 1.0 for c in candidates}, ())
 
     def in_clean(rows: Iterable[tuple[str, int]]) -> dict[str, tuple[int]]:
         matches, n = probe.matcher(), Counter()
         for text, label in rows:
             if not label:
-                n.update({e for _, e in matches(fold(text))})
+                n.update({e for _, e in matches(text)})
         return {k: (v,) for k, v in n.items()}
 
     harmless = {r["entry"]: r["n"] for r in counted(sample, in_clean, ("n",)).collect()}  # at most the candidates
@@ -192,26 +202,24 @@ def learn(
     for e in sorted(weights, key=lambda e: (len(e), e)):
         if weights[e] >= least_weight and unevenness(candidates[e], toxic, harmless.get(e, 0), clean) >= enough and not any(e[:k] in entries for k in range(2, len(e))):
             entries[e] = weights[e]
-    best = sorted(entries, key=lambda e: (-entries[e] * candidates[e], e))[:most_entries]
-    lexicon = Lexicon({e: entries[e] for e in best})
+    lexicon = Lexicon(entries)
 
     def around(rows: Iterable[tuple[str, int]]) -> dict[str, tuple[int, int]]:
         """In how many clean and toxic documents each matched word stands with each neighbour."""
         matches, n = lexicon.matcher(), {}
         for text, label in rows:
-            folded, pairs = fold(text), set()
-            for at, _ in matches(folded):
-                before = folded[max(0, at - 60) : at].split(" ")[-1]
-                word, after, *_ = [*folded[at + 1 : at + 120].split(" "), "", ""]
-                pairs |= {f"{before} {word}".strip(), f"{word} {after}".strip()}
+            pairs = set()
+            for at, _ in matches(text):
+                stop = text.find(" ", at)
+                before, word, after = text[text.rfind(" ", 0, at - 1) + 1 : at - 1], text[at:stop], text[stop + 1 : text.find(" ", stop + 1)]
+                pairs |= {f"{x} {y}" for x, y in ((before, word), (word, after)) if x and y}
             for p in pairs:
                 old = n.get(p, (0, 0))
                 n[p] = (old[0] + (not label), old[1] + label)
         return n
 
     phrases = counted(sample, around, ("clean", "toxic")).where((F.col("clean") >= 5) & (F.col("toxic") == 0))
-    learned = [r["entry"] for r in phrases.orderBy(F.col("clean").desc(), "entry").limit(500).collect()]
-    lexicon.phrases = (*PHRASES, *[p for p in learned if " " in p])
+    lexicon.phrases = (*PHRASES, *sorted(r["entry"] for r in phrases.collect()))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches = lexicon.matcher()
@@ -232,7 +240,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches = lexicon.matcher()
         for b in batches:
-            x = np.array([lexicon.features(t or "", matches) for t in b.column(1).to_pylist()]).reshape(-1, 3)
+            x = np.array([lexicon.features(fold(t or ""), matches) for t in b.column(1).to_pylist()]).reshape(-1, 3)
             s = lexicon.scores(x)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *b.columns[2:], pa.array(s), pa.array((s >= 0.5).astype("int32"))],

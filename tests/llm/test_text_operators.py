@@ -381,5 +381,39 @@ def test_exception_phrases_and_folding():
     assert found("trash trash can") == [" trash"] and toxicity.fold("ＡВс") == " abc "
 
 
+def plain_score(lexicon, text):
+    """Score of a text by searching every entry and phrase at every word."""
+    t = toxicity.fold(text or "")
+    starts = [i for i, c in enumerate(t) if c == " "]
+    spans = [(i + 1, i + 1 + len(p)) for p in lexicon.phrases for i in starts if t.startswith(f" {p}", i)]
+    hits = [(i + 1, e) for e in lexicon.entries for i in starts if t.startswith(e, i)]
+    weight = sum(lexicon.entries[e] for a, e in hits if not any(lo <= a and a + len(e.rstrip()) <= hi for lo, hi in spans))
+    words = len(t.split())
+    x = [1.0, float(weight > 0), np.log1p(weight), np.log1p(100 * weight / ((words + 1 if words else 1) + 9))]
+    return 1 / (1 + np.exp(-np.clip(np.dot(lexicon.model, x), -30, 30)))
+
+
+def test_scores_equal_a_plain_search(spark, hard):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    lexicon = toxicity.learn(docs, labels, train=train)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(docs, lexicon).collect()}
+    assert lexicon.entries and len(got) == len(texts)
+    for i, t in texts.items():
+        want = plain_score(lexicon, t)
+        assert got[i][0] == pytest.approx(want, abs=1e-9) and got[i][1] == (want >= 0.5)
+    odd = toxicity.score(hard, lexicon, keep=("text", "score")).collect()
+    assert all(r["score"] == pytest.approx(plain_score(lexicon, r["_k_text"]), abs=1e-9) and r["_k_score"] == 0.5 for r in odd)
+    # Neither held-out labels nor lang and source move a score; ids only say which labels are held out.
+    turned = labels.withColumn("toxic", F.when(train, F.col("toxic")).otherwise(1 - F.col("toxic")))
+    other = toxicity.learn(docs.withColumns({"lang": F.lit("x"), "source": F.lit("y")}), turned, train=train)
+    assert (other.entries, other.phrases, other.model) == (lexicon.entries, lexicon.phrases, lexicon.model)
+    moved = toxicity.learn(docs.withColumn("doc_id", F.col("doc_id") + 7_000_000), labels.where(train).withColumn("doc_id", F.col("doc_id") + 7_000_000))
+    assert (moved.entries, moved.phrases) == (lexicon.entries, lexicon.phrases) and moved.model == pytest.approx(lexicon.model, rel=1e-6)
+    few = toxicity.learn(docs.union(docs.withColumn("text", F.concat("text", F.lit(" more")))), labels, most_labelled=50)
+    assert len(few.model) == 4
+
+
 def test_hard_rows_are_hard():
     assert len(LONG) > 200_000 and json.dumps(rows())
