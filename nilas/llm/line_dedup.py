@@ -5,8 +5,11 @@ and counted once per document with map-side combining. Positions (not texts)
 of lines with a frequent key meet again per document, and the text is put
 together from the positions that stay.
 
-A document is a row: repeated rows count as several documents. Null text is one
-empty line, and empty keys are never dropped, so empty texts stay empty texts.
+A document is a row: repeated rows count as several documents and are cut alike;
+their positions are gathered as a set, so repeats don't add to it. Null text is
+one empty line, and empty keys are never dropped, so empty texts stay empty
+texts. A text of any length is split whole. A line is frequent or not, so there
+are no ties; ids are passed on, null or not. An empty table gives an empty one.
 Columns of the input that are named like an output column are replaced by it.
 """
 
@@ -50,7 +53,7 @@ def dedup_lines(
         .select("_k1", "_k2", "_pos", "_h1", "_h2")
     )
     dropped = (
-        places.join(dealt_anew(frequent).select("_h1", "_h2"), ["_h1", "_h2"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_list("_pos").alias("_drop"))
+        places.join(dealt_anew(frequent).select("_h1", "_h2"), ["_h1", "_h2"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_drop"))
     )
     lines = F.col("_lines")
     stay = F.when(

@@ -1,18 +1,25 @@
 """Operator 5: exact top-k search by inner product, with a KD-tree per shard.
 
 Components become whole numbers (floor of `scale` times each), so scores are
-exact. Rows are hashed to shards; each shard's KD-tree splits at medians and
-keeps a tight bounding box for every node. A box bounds the inner product with
-a query from above, so nodes are visited best first until no bound reaches the
-query's kth score. Each block of queries first searches one shard; the kth
-scores found there travel with the block to all others, where most nodes then
-fail at once. Queries are a stated set of rows (`query`), moved in blocks
-against each shard; no pair of rows is ever a row of a table.
+exact. Space is cut by median splits of a sample of at most `most_sample` rows;
+rows of one cell of space form its shards of about `shard_rows`, as many as it
+needs, so a crowded cell is no larger task than others. Each shard's KD-tree
+splits at medians and keeps a tight bounding box for every node. A box bounds
+the inner product with a query from above, so nodes are visited best first until
+no bound reaches the query's kth score. Queries move in blocks of one cell. A
+block first searches a shard of its own cell; then only those shards whose root
+box reaches the kth score that one of its queries has found there, with these
+scores, so that most nodes fail at once. Queries are a stated set of rows
+(`query`); no pair of rows is ever a row of a table. Vectors without clusters
+leave no shard out, as their boxes all reach far.
 
 Vectors that are null, empty, or hold null or non-finite components take no
 part, nor do rows with a null id. Vectors meet only those of their own length.
-A repeated row counts once. Ties go to the smaller id. Scores beyond 64 bits
-are cut to the range, and ranked as cut. Only the two named columns are read.
+A repeated row counts once; an id on several vectors is a candidate with each,
+and as a query asks with each, and never finds itself. Ties go to the smaller
+id. Scores beyond 64 bits are cut to the range, and ranked as cut. An empty
+table gives an empty one. Only the two named columns are read, so others may
+clash with the output's names.
 """
 
 from __future__ import annotations
@@ -115,18 +122,91 @@ def to_ints(x: np.ndarray) -> np.ndarray:
     return np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
 
 
-def blocks_of(rows: DataFrame, part: Column, dim: Column, scale: float, tree: bool) -> DataFrame:
-    """One row per length and part: its packed tree, or ids and vectors."""
-    names = ["p0", "p1", "p2", "p3", "p4", "p5", "p6"] if tree else ["p0", "p1"]
+class Cells:
+    """Cells of space by median splits, in heap order: a row goes right where its component is greater than the split."""
+
+    def __init__(self, x: np.ndarray, depth: int) -> None:
+        self.depth, n = depth, (1 << depth) - 1
+        self.axis, self.split, groups = np.zeros(n, dtype=np.int64), np.full(n, np.inf), [x]
+        for i in range(n):
+            part = groups[i]
+            left = right = part[:0]
+            if len(part) > 1:
+                axis = int((part.max(axis=0) - part.min(axis=0)).argmax())
+                at = float(np.partition(part[:, axis], (len(part) - 1) // 2)[(len(part) - 1) // 2])
+                self.axis[i], self.split[i] = axis, at
+                left, right = part[part[:, axis] <= at], part[part[:, axis] > at]
+            groups += [left, right]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), dtype=np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.axis[node]] > self.split[node])
+        return node - ((1 << self.depth) - 1)
+
+
+def in_cells(rows: DataFrame, cells: dict[int, Cells], scale: float) -> DataFrame:
+    """Adds the length `dim` and the cell of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = np.array([len(v) for v in b.column(1)], dtype=np.int32)
+            for dim in np.unique(dims).tolist():
+                part = b.filter(pa.array(dims == dim))
+                x = np.floor(scale * np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim))
+                cell = cells[dim].of(x) if dim in cells else np.zeros(len(x))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(x), dim, np.int32)), pa.array(cell.astype(np.int32))], names=["id", "vec", "_q", "dim", "cell"])
+
+    return rows.mapInArrow(run, "id long, vec array<double>, _q boolean, dim int, cell int")
+
+
+def tree_rows(rows: DataFrame, scale: float) -> DataFrame:
+    """One row per length and shard: its packed tree."""
 
     def make(key: tuple, table: pa.Table) -> pa.Table:
-        ids, x = whole(table, scale)
-        parts = Tree(ids, x).pack() if tree else [ids.tobytes(), x.tobytes()]
         cols = {"dim": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32())}
-        return pa.table(cols | {n: pa.array([p], pa.binary()) for n, p in zip(names, parts, strict=True)})
+        return pa.table(cols | {f"p{i}": pa.array([p], pa.binary()) for i, p in enumerate(Tree(*whole(table, scale)).pack())})
+
+    return rows.select("id", "vec", "dim", "part").groupBy("dim", "part").applyInArrow(make, "dim int, part int, " + ", ".join(f"p{i} binary" for i in range(7)))
 
-    keyed = rows.select("id", "vec", dim.alias("dim"), part.cast("int").alias("part"))
-    return keyed.groupBy("dim", "part").applyInArrow(make, "dim int, part int, " + ", ".join(f"{n} binary" for n in names))
+
+def query_blocks(rows: DataFrame, scale: float) -> DataFrame:
+    """One row per length and block: its home shard, ids and vectors."""
+
+    def make(key: tuple, table: pa.Table) -> pa.Table:
+        ids, x = whole(table, scale)
+        numbers = {n: pa.array([k.as_py()], pa.int32()) for n, k in zip(("dim", "block", "home"), key, strict=True)}
+        return pa.table(numbers | {"ids": pa.array([ids.tobytes()], pa.binary()), "vecs": pa.array([x.tobytes()], pa.binary())})
+
+    return rows.select("id", "vec", "dim", "block", "home").groupBy("dim", "block", "home").applyInArrow(make, "dim int, block int, home int, ids binary, vecs binary")
+
+
+def within_reach(blocks: DataFrame, boxes: DataFrame, page_rows: int = 4096) -> DataFrame:
+    """blocks: dim, block, home, vecs, kth; boxes: dim, part, low, high of each shard. dim, block and part of the shards whose box reaches a kth score, but for the home."""
+
+    def paged(key: tuple, table: pa.Table) -> pa.Table:
+        joined = [b"".join(table.column(c).to_pylist()) for c in ("low", "high")]
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "parts": pa.array([table.column("part").to_numpy().astype(np.int32).tobytes()], pa.binary()),
+                         "low": pa.array([joined[0]], pa.binary()), "high": pa.array([joined[1]], pa.binary())})
+
+    pages = boxes.withColumn("page", F.floor(F.col("part") / page_rows)).groupBy("dim", "page").applyInArrow(paged, "dim int, parts binary, low binary, high binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                dim, block, home, vecs, kth, parts, low, high = (c[at].as_py() for c in b.columns)
+                q = np.frombuffer(vecs, np.float64).reshape(-1, dim)
+                part, low, high = np.frombuffer(parts, np.int32), *(np.frombuffer(x, np.float64).reshape(-1, dim) for x in (low, high))
+                with np.errstate(all="ignore"):
+                    most = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                    slack = 1e-9 * (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T)
+                    need = ~(most + slack < np.frombuffer(kth, np.float64)[:, None]).all(axis=0) & (part != home)
+                found = part[need]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), dim, np.int32)), pa.array(np.full(len(found), block, np.int32)), pa.array(found)], names=["dim", "block", "part"]
+                )
+
+    return blocks.select("dim", "block", "home", "vecs", "kth").join(pages, "dim").mapInArrow(run, "dim int, block int, part int")
 
 
 def search_cells(cells: DataFrame, k: int) -> DataFrame:
@@ -170,30 +250,55 @@ def top_k(
     scale: float = 256.0,
     shard_rows: int = 8192,
     block_rows: int = 1024,
+    most_sample: int = 65_536,
 ) -> DataFrame:
     """query_id, rank, vec_id and score; `query` is a condition on the id column that names the queries."""
+    spark = vectors.sparkSession
     vec = F.col(vec_col).cast("array<double>")
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1.7e308 / scale))
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), query.alias("_q"))
-    rows = rows.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).where(fine)
-    n, asked = rows.agg(F.count("*"), F.count_if("_q")).first()
-    shards, blocks = -(-max(1, n) // shard_rows), -(-max(1, asked) // block_rows)
-    dim, hashed = F.size("vec"), F.xxhash64("id")
-    trees = written(blocks_of(rows, F.pmod(hashed, F.lit(shards)), dim, scale, True), "trees")
-    queries = written(blocks_of(rows.where("_q"), F.pmod(hashed, F.lit(blocks)), dim, scale, False), "queries")
-    parts = [f"p{i}" for i in range(7)]
-    asked_blocks = queries.select("dim", F.col("part").alias("block"), F.col("p0").alias("ids"), F.col("p1").alias("vecs"))
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), F.coalesce(query, F.lit(False)).alias("_q"))
+    rows = rows.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).where(fine).dropDuplicates(["id", "vec"])
+    rows = written(rows, "vectors")
+
+    # Cells of space, with 16 sampled rows each at least: the rows with the smallest hashes, by a bound on the hash.
+    n = rows.count()
+    share = min(1.0, most_sample / max(1, n))
+    small = F.shiftrightunsigned(F.xxhash64(F.lit(3), "id", "vec"), 2) <= F.lit(int(share * 2**62))
+    depth = int(np.ceil(np.log2(max(1, min(n / shard_rows, share * n / 16)))))
+    cells: dict[int, Cells] = {}
+    if depth:
+        sample: dict[int, list] = {}
+        for r in rows.where(small).select("vec").limit(2 * most_sample).collect():
+            sample.setdefault(len(r["vec"]), []).append(r["vec"])
+        cells = {dim: Cells(np.floor(scale * np.array(v)), depth) for dim, v in sample.items()}
+    placed = in_cells(rows, cells, scale)
+    # A row per length and cell: how many shards and blocks it needs, and where their numbers begin.
+    found = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("_q").alias("asked")).orderBy("dim", "cell").collect()
+    plan, shards, blocks = [], 0, 0
+    for r in found:
+        mine = (-(-r["n"] // shard_rows), -(-r["asked"] // block_rows))
+        plan.append((r["dim"], r["cell"], shards, mine[0], blocks, max(1, mine[1])))
+        shards, blocks = shards + mine[0], blocks + mine[1]
+    plan = spark.createDataFrame(plan, "dim int, cell int, shard0 int, shards int, block0 int, blocks int")
+    hashed = F.xxhash64("id", "vec")
+    numbered = placed.join(F.broadcast(plan), ["dim", "cell"]).select(
+        "id", "vec", "_q", "dim", "shard0", "shards",
+        (F.col("shard0") + F.pmod(hashed, F.col("shards"))).cast("int").alias("part"), (F.col("block0") + F.pmod(hashed, F.col("blocks"))).cast("int").alias("block"),
+    )
+    trees = written(tree_rows(numbered, scale), "trees")
+    home = (F.col("shard0") + F.pmod("block", "shards")).cast("int").alias("home")
+    queries = written(query_blocks(numbered.where("_q").select("id", "vec", "dim", "block", home), scale), "queries")
 
-    home = asked_blocks.withColumns({"part": F.col("block") % shards, "kth": F.lit(None).cast("binary")})
+    parts = [f"p{i}" for i in range(7)]
     columns = ["dim", "block", "ids", "vecs", "kth", *parts]
-    first = written(search_cells(home.join(trees, ["dim", "part"]).select(columns), k), "home")
-    away = (
-        asked_blocks.join(first.select("dim", "block", "kth"), ["dim", "block"], "left")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .where(F.col("part") != F.col("block") % shards)
-    )
-    cells = away.repartition(max(1, min(shards * blocks, 10_000)), "dim", "block", "part") if shards > 1 else away
-    rest = search_cells(cells.join(trees, ["dim", "part"]).select(columns), k)
+    own = queries.withColumnsRenamed({"home": "part"}).withColumn("kth", F.lit(None).cast("binary"))
+    first = written(search_cells(own.join(trees, ["dim", "part"]).select(columns), k), "home")
+    known = queries.join(first.select("dim", "block", "kth"), ["dim", "block"])
+    root = lambda c: F.substring(c, F.lit(1), 8 * F.col("dim"))
+    met = within_reach(known, trees.select("dim", "part", root("p5").alias("low"), root("p6").alias("high")))
+    away = written(met, "reach").join(known.drop("home"), ["dim", "block"])
+    away = away.repartition(max(1, min(shards * blocks, 10_000)), "dim", "block", "part") if shards > 1 else away
+    rest = search_cells(away.join(trees, ["dim", "part"]).select(columns), k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = opened(first).union(opened(rest)).withColumn("rank", F.row_number().over(best))
-    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    answers = opened(first).union(opened(rest)).withColumn("rank", F.row_number().over(best))
+    return answers.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -30,7 +30,29 @@ def vectors(n, dim, seed):
     return [*out, out[0], (None, out[1][1], 1, 0.0, "a", "b")]
 
 
-@pytest.mark.parametrize(("shard", "block"), [(8192, 1024), (60, 3)])
+def test_far_shards_are_left_out(spark):
+    """Two far clusters: a query of one never visits the other's shards."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((400, 6)) + 50, rng.standard_normal((400, 6)) - 50])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    cells = topk.within_reach
+
+    def watched(blocks, boxes, **options):
+        out = cells(blocks, boxes, **options)
+        seen.append((blocks.count() * boxes.count(), out.count()))
+        return out
+
+    topk.within_reach = watched
+    try:
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=50, block_rows=4).collect()
+    finally:
+        topk.within_reach = cells
+    assert len(got) == 16 * 5 and all((r["query_id"] < 400) == (r["vec_id"] < 400) for r in got)
+    assert 0 < seen[0][1] <= seen[0][0] / 2
+
+
+@pytest.mark.parametrize(("shard", "block"), [(8192, 1024), (60, 3), (20, 5)])
 def test_top_k(spark, shard, block):
     data = vectors(300, 8, 1)
     got = topk.top_k(spark.createDataFrame(data, VECTORS).repartition(3), F.col("vec_id") % 50 == 0, shard_rows=shard, block_rows=block).collect()
