@@ -1,4 +1,12 @@
-"""A corpus pipeline: five stages, each one of the operators of nilas.llm, each on all that the one before kept."""
+"""A corpus pipeline: five stages, each one of the operators of nilas.llm, each on all that the one before kept.
+
+What holds for every stage but the last: the columns of documents come out as
+they went in, whatever else a table has; a null or empty text is a document of
+no words, which passes the first three stages and is never taken by the mix;
+repeated rows are documents of their own; null ids, langs and sources stay
+null; texts are read whole; an empty table gives an empty one. n_chars follows
+the text where a stage cuts it.
+"""
 
 from __future__ import annotations
 
@@ -16,14 +24,14 @@ def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below one half."""
+    """Documents whose score is below one half; labels that are null or of unknown documents teach nothing."""
     lexicon = toxicity.learn(docs, read_table(spark, sf_dir, "labels"), train=~held_out())
     scored = toxicity.score(docs, lexicon, keep=tuple(docs.columns)).where(F.col("predicted") == 0)
     return scored.select(*[F.col(f"_k_{c}").alias(c) for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten documents share."""
+    """All documents, without the lines that ten documents share; repeated rows count as several documents."""
     return with_text(line_dedup.dedup_lines(docs), docs.columns)
 
 
@@ -52,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 tokens."""
+    """Pieces of all documents in sequences of at most 4096 tokens; ties are broken by id, piece and checksum."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
