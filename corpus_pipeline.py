@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nilas.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from nilas.llm.common import read_table, written
+from nilas.llm.common import discard, read_table, written
 from nilas.llm.queries import held_out, vocabulary
 
 
@@ -77,10 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a data folder."""
+    """All stages over the documents of a data folder; what a stage has read is deleted once its result is written."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
