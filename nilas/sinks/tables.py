@@ -97,9 +97,11 @@ def backup(spark: SparkSession, root: str, suffix: str = "legacy") -> str:
     to = f"{root}.{suffix}_{datetime.now():%Y%m%d_%H%M%S}"
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path(root)):
+        raise FileNotFoundError(root)
     files.delete(path(to), True)
     if not files.rename(path(root), path(to)):
-        raise FileNotFoundError(root)
+        raise RuntimeError(f"{root} couldn't be moved to {to}")
     return to
 
 

@@ -48,17 +48,25 @@ def history(
     return df
 
 
+def values_of(spark: SparkSession, root: str, column: str) -> list[str]:
+    """The values of a store's column: the names of its folders where it is partitioned by it, else those in its rows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for depth in range(4):
+        if found := files.globStatus(path("/".join([root, *["*=*"] * depth, f"{column}=*"]))):
+            return sorted({x.getPath().getName().partition("=")[2] for x in found})
+    return sorted(r[0] for r in spark.read.parquet(root).select(column).distinct().collect())
+
+
 def classified(spark: SparkSession, root: str, method: str, *, grid_type: str | None = None, order: tuple[str, ...] = ("Tb", "Tc")) -> DataFrame:
     """A classification; its grid type is the wanted one or the only one there."""
     df = spark.read.parquet(root).where(F.col("method") == config.method(method))
-    there = [r["grid_type"] for r in df.select("grid_type").distinct().collect()]  # a handful of partition names
-    return df.where(F.col("grid_type") == rel.resolve(there, order, grid_type))
+    return df.where(F.col("grid_type") == rel.resolve(values_of(spark, root, "grid_type"), order, grid_type))
 
 
 def first_method(spark: SparkSession, root: str, methods: list[str]) -> DataFrame:
     """The one method of several candidates that is there."""
-    there = [r["method"] for r in spark.read.parquet(root).select("method").distinct().collect()]
-    return spark.read.parquet(root).where(F.col("method") == rel.resolve(there, tuple(map(config.method, methods))))
+    return spark.read.parquet(root).where(F.col("method") == rel.resolve(values_of(spark, root, "method"), tuple(map(config.method, methods))))
 
 
 def product(spark: SparkSession, root: str, names: dict[str, str] | None = None, first: date | None = None, last: date | None = None) -> DataFrame:

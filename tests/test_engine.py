@@ -419,3 +419,39 @@ def test_streams(spark, tmp_path):
 
     history = spark.createDataFrame([(DAY + timedelta(i), 1, True) for i in range(20)], "time date, cell int, raw boolean")
     assert daily.settled(history, ["cell"], "time", "raw", DAY + timedelta(19)).agg(F.max("time")).first()[0] == DAY + timedelta(14)
+
+
+def test_values_of_a_store(spark, tmp_path):
+    df = spark.createDataFrame([("raw", "Tb", 1), ("raw", "Tc", 2), ("binary-days", "Tb", 3)], "method string, grid_type string, v int")
+    sinks.by_kind(df, f"{tmp_path}/deep", "method", "grid_type")
+    sinks.append(df, f"{tmp_path}/flat")
+    for root in ("deep", "flat"):
+        assert sources.values_of(spark, f"{tmp_path}/{root}", "method") == ["binary-days", "raw"]
+        assert sources.values_of(spark, f"{tmp_path}/{root}", "grid_type") == ["Tb", "Tc"]
+
+
+def test_thickness_rates_by_their_own_units(spark):
+    made = spark.createDataFrame([(DAY, 1, 0.9, 1.0, 86.4, u, True) for u in ("cm/day", "m d-1")], "time date, cell int, aice double, hi double, dvidtt double, dvidtt_units string, fi boolean")
+    have = set(made.columns)
+    from nilas.plans.metrics import thickness_rate
+
+    assert [r[0] for r in made.select(thickness_rate("dvidtt", have)).collect()] == pytest.approx([0.864, 86.4])
+    assert [r[0] for r in made.select(thickness_rate("dvidtt", set())).collect()] == pytest.approx([0.864, 0.864])
+
+
+def test_what_speaks_against_factors_and_forcing(spark, tmp_path):
+    good = spark.createDataFrame([(j, i, 0.5, 0.0) for j in range(2) for i in range(3)], "nj int, ni int, ffx double, ffy double")
+    assert sinks.factor_problems(good, shape=(3, 2)) == []
+    assert len(sinks.factor_problems(good.drop("ffy"))) == 1
+    odd = good.where("nj > 0 OR ni > 0").withColumn("ffx", F.lit(NAN)).withColumn("ffy", F.lit(-1.0))
+    assert len(sinks.factor_problems(odd, shape=(2, 4))) == 4
+    assert sinks.forcing(good, f"{tmp_path}/f", rows=6) and not sinks.forcing(good, f"{tmp_path}/f", rows=6)
+    with pytest.raises(ValueError):
+        sources.union_sources({"a": good, "b": good.where("ni < 2")}, ["ni"])
+    with pytest.raises(FileNotFoundError):
+        sinks.backup(spark, f"{tmp_path}/none")
+
+
+def test_method_names():
+    assert [config.method(m) for m in ("Daily", " bin ", "roll")] == ["raw", "binary-days", "rolling-mean"]
+    assert config.threshold_tag(5e-4, 0) == "5e-4" and config.method_folder("bin", config.Classification()) == "bin-win-11_bin-min-09"
