@@ -147,11 +147,83 @@ def line_density(segments: DataFrame, size: float) -> DataFrame:
     )
 
 
+def following(points: Column) -> Column:
+    """Each corner's next one around the ring."""
+    return F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+
+
+def signed_area(points: Column) -> Column:
+    """Area of a polygon from its array of (x, y) corners, negative if they run clockwise."""
+    terms = F.zip_with(points, following(points), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2
+
+
 def shoelace(points: Column) -> Column:
-    """Area of a polygon from its array of (x, y) corners."""
-    after = F.concat(F.slice(points, F.lit(2), F.size(points) - 1), F.slice(points, 1, 1))
-    terms = F.zip_with(points, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)) / 2
+    return F.abs(signed_area(points))
+
+
+def ring_edges(rings: DataFrame, keys: list[str], ring: str) -> DataFrame:
+    """Edges of rings from x0 to a greater x1: keys, x0, x1, y0, y1, `way`, and the ring's `low`, `high` and `area`.
+
+    The ring's area is the sum of the areas below its edges times `way`; edges
+    along y add nothing and are left out, as are rings with a corner that isn't
+    known.
+    """
+    p = F.col(ring)
+    known = F.forall(p, lambda q: q["x"].isNotNull() & q["y"].isNotNull() & ~F.isnan(q["x"]) & ~F.isnan(q["y"]))
+    r = rings.where(known & (F.size(p) > 2)).withColumn("_s", signed_area(p))
+    ys = F.transform(p, lambda q: q["y"])
+    edges = F.zip_with(p, following(p), lambda a, b: F.when(a["x"] != b["x"], F.struct(
+        F.least(a["x"], b["x"]).alias("x0"), F.greatest(a["x"], b["x"]).alias("x1"), F.when(a["x"] < b["x"], a["y"]).otherwise(b["y"]).alias("y0"),
+        F.when(a["x"] < b["x"], b["y"]).otherwise(a["y"]).alias("y1"), F.signum(F.col("_s") * (a["x"] - b["x"])).alias("way"),
+    )))
+    return r.select(*keys, F.array_min(ys).alias("low"), F.array_max(ys).alias("high"), F.abs("_s").alias("area"), F.inline(F.filter(edges, lambda e: e.isNotNull())))
+
+
+def polygon_cover(polygons: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """The area of each polygon in each cell that it meets: id, cell_id, area, cell_area.
+
+    polygons: id, ring (array of x, y), hole (boolean); the rings of an id add
+    up and its holes are taken off. cells: cell_id, corners (array of x, y), of
+    any shape that doesn't cross itself. The area in both is the sum over pairs
+    of edges of the area below both. Edges are hashed to squares of `size` (near
+    a cell's width, which matters for speed only); an edge meets the cells of
+    its own stretch of x, from its ring's lowest point to its own highest.
+    Less than 1e-9 of a cell counts as nothing.
+    """
+
+    def at(y: Column) -> Column:
+        return F.floor(y / size).cast("int")
+
+    def placed(edges: DataFrame, prefix: str, top: Column) -> DataFrame:
+        e = edges.withColumn("_bottom", at(F.col("low")))
+        e = e.withColumn("bx", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1"))))).withColumn("by", F.explode(F.sequence("_bottom", at(top))))
+        return e.withColumnsRenamed({c: f"{prefix}{c}" for c in ("x0", "x1", "y0", "y1", "way", "low", "high", "area", "_bottom")})
+
+    rings = polygons.select("id", "ring", F.when(F.col("hole"), -1.0).otherwise(1.0).alias("sign"))
+    a = placed(ring_edges(rings, ["id", "sign"], "ring"), "a", F.greatest("y0", "y1"))
+    b = placed(ring_edges(cells, ["cell_id"], "corners"), "b", F.col("high"))
+    met = a.join(b, ["bx", "by"]).where((F.col("by") == F.greatest("a_bottom", "b_bottom")) & (F.col("alow") < F.col("bhigh")) & (F.col("ahigh") > F.col("blow")))
+    met = met.withColumns({"_from": F.greatest("ax0", "bx0", F.col("bx") * size), "_to": F.least("ax1", "bx1", (F.col("bx") + 1) * size)}).where("_from < _to")
+
+    def height(c: str, x: str) -> Column:
+        return F.col(f"{c}y0") + (F.col(f"{c}y1") - F.col(f"{c}y0")) * (F.col(x) - F.col(f"{c}x0")) / (F.col(f"{c}x1") - F.col(f"{c}x0")) - F.col("blow")
+
+    def above(p: Column, q: Column) -> Column:
+        """Mean of the positive part of a line from p to q."""
+        most = F.greatest(p, q)
+        return F.when(F.least(p, q) >= 0, (p + q) / 2).when(most <= 0, 0.0).otherwise(most * most / (2 * F.abs(p - q)))
+
+    (a0, a1), (b0, b1) = [[height(c, x) for x in ("_from", "_to")] for c in "ab"]
+    below_both = (above(a0, a1) - above(a0 - b0, a1 - b1)) * (F.col("_to") - F.col("_from"))
+    out = met.groupBy("id", "cell_id", F.col("barea").alias("cell_area")).agg(F.sum(F.col("sign") * F.col("away") * F.col("bway") * below_both).alias("area"))
+    return out.where(F.col("area") > 1e-9 * F.col("cell_area")).select("id", "cell_id", "area", "cell_area")
+
+
+def occupancy(cover: DataFrame) -> DataFrame:
+    """Of each cell that polygons meet: their area, their number, and the share of the cell, 1 at most where they overlap."""
+    out = cover.groupBy("cell_id", "cell_area").agg(F.sum("area").alias("area"), F.count("*").alias("hits"))
+    return out.select("cell_id", "area", "hits", F.least(F.col("area") / F.col("cell_area"), F.lit(1.0)).alias("fraction"))
 
 
 def line_parts(vertices: Column) -> Column:

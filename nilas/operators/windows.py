@@ -85,6 +85,21 @@ def edge_to_centre(df: DataFrame, value: str, keys: list[str], direction: str, j
     return (v + after) / 2
 
 
+def enclosed_centres(df: DataFrame, value: str, keys: list[str], axes: str, j: str = "nj", i: str = "ni", wrap: bool = True, zero: bool = False) -> DataFrame:
+    """Means at the centres of a field with one column ("x"), row ("y") or both ("xy", corners) more than there are centres: keys, j, i, `centre`.
+
+    Each centre lies between its own line and the next, so none is missing at
+    the end; with `wrap` the last column still takes the first one's values.
+    """
+    out = df.select(*keys, j, i, (F.coalesce(F.col(value), F.lit(0.0)) if zero else F.col(value)).alias("centre"))
+    for axis in axes:
+        at, across = (i, j) if axis == "x" else (j, i)
+        w = Window.partitionBy(*keys, across).orderBy(at)
+        out = out.withColumns({"_after": F.lead("centre").over(w), "_more": F.lead(at).over(w).isNotNull()})
+        out = out.where("_more").select(*keys, j, i, ((F.col("centre") + F.col("_after")) / 2).alias("centre"))
+    return last_as_first(out, ["centre"], keys, j, i) if wrap else out
+
+
 def c_to_t(df: DataFrame, keys: list[str], names: tuple[str, str, str, str], combine: str = "mean", j: str = "nj", i: str = "ni", wrap: bool = True, zero: bool = True) -> DataFrame:
     """Adds `east` and `north` at the centres from uvelE, uvelN (averaged in x) and vvelE, vvelN (in y).
 

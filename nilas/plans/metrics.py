@@ -8,6 +8,7 @@ and diagnostics only. A metric whose columns aren't there is an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -130,18 +131,26 @@ def stability(df: DataFrame, names: list[str], cell: str) -> DataFrame:
     return some.select(*[F.when(F.col("_any"), made[n]).alias(n) for n in names])
 
 
-def compute(df: DataFrame, names: list[str], cell: str = "cell", regions: DataFrame | None = None, obs: DataFrame | None = None) -> DataFrame:
+def compute(
+    df: DataFrame, names: list[str], cell: str = "cell", regions: DataFrame | None = None, obs: DataFrame | None = None,
+    calculators: dict[str, Callable[[set[str]], Column]] | None = None,
+) -> DataFrame:
     """metric, time, region, cell, value and units; what a metric's rank lacks is NULL.
 
-    obs: time and the observed FIA and FIT that skill is asked of.
+    obs: time and the observed FIA and FIT that skill is asked of. calculators:
+    time series metrics by name, which add to the catalogue's or take the place
+    of one, also where summaries and skill are made from it; each gives the
+    aggregate from the names of the table's columns.
     """
-    series, maps, regional, scalars = ranks(names)
+    given = calculators or {}
+    series, maps, regional, scalars = ranks([n for n in names if n not in given])
+    series = [*[n for n in names if n in given], *series]
     parts: list[DataFrame] = []
     steady, skilled = [n for n in scalars if n in config.STABILITY], [n for n in scalars if n in config.SKILL]
     scalars = [n for n in scalars if n not in config.SPECIFIC]
     parents = list(dict.fromkeys([*series, *[n[:3] for n in (*scalars, *skilled)]]))
     have = set(df.columns)
-    by_time = df.groupBy("time").agg(*[series_metric(n, have).alias(n) for n in parents]) if parents else None
+    by_time = df.groupBy("time").agg(*[(given[n](have) if n in given else series_metric(n, have)).alias(n) for n in parents]) if parents else None
     if series:
         parts.append(long(by_time, ["time"], series))
     if maps:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nilas.config import DIAGNOSTICS, FREQUENCIES, HEMISPHERES, Classification, metric_names
@@ -593,6 +593,32 @@ def g01_g02_g03_grid_types(t: Tables) -> DataFrame:
     return rel.stack({n: d.select("nj", "ni", "speed") for n, d in made.items()}, "chosen").select("chosen", "nj", "ni", "speed")
 
 
+@query(f"""WITH {STAGGERED}, c AS (SELECT s.nj, s.ni, (s.u + e.u) / 2 AS east, (coalesce(s.v, 0) + coalesce(n.v, 0)) / 2 AS north, (s.u + e.u + n.u + ne.u) / 4 AS middle
+FROM staggered s LEFT JOIN staggered e ON e.nj = s.nj AND e.ni = s.ni + 1 LEFT JOIN staggered n ON n.nj = s.nj + 1 AND n.ni = s.ni LEFT JOIN staggered ne ON ne.nj = s.nj + 1 AND ne.ni = s.ni + 1)
+SELECT c.nj, c.ni, f.east, c.north, g.middle FROM c JOIN c f ON f.nj = c.nj AND f.ni = c.ni % 10 JOIN c g ON g.nj = c.nj AND g.ni = c.ni WHERE c.ni < 11 AND c.nj < 9""")
+def g02_g03_edges_around_centres(t: Tables) -> DataFrame:
+    s = t.staggered()
+    east = windows.enclosed_centres(s, "u", [], "x").withColumnRenamed("centre", "east")
+    north = windows.enclosed_centres(s, "v", [], "y", wrap=False, zero=True).withColumnRenamed("centre", "north")
+    middle = windows.enclosed_centres(s, "u", [], "xy", wrap=False).withColumnRenamed("centre", "middle")
+    return east.join(north, ["nj", "ni"]).join(middle, ["nj", "ni"])
+
+
+@query(f"""WITH {STAGGERED}, m AS (SELECT s.nj, s.ni, CAST(0.75 * s.u + 0.25 * e.u AS REAL)::DOUBLE AS u, CAST(0.75 * s.v + 0.25 * e.v AS REAL)::DOUBLE AS v FROM staggered s JOIN staggered e ON e.nj = s.nj AND e.ni = (s.ni + 1) % 12)
+SELECT nj, ni, CAST(sqrt(u * u + v * v) AS REAL) AS speed FROM m""")
+def x01_x04_regridder(t: Tables) -> DataFrame:
+    s = t.staggered().select("nj", "ni", C("u").alias("uvel"), C("v").alias("vvel"))
+    own, east = F.struct(C("ni").alias("from"), F.lit(0.75).alias("w")), F.struct(((C("ni") + 1) % 12).alias("from"), F.lit(0.25).alias("w"))
+    weights = s.select("nj", "ni", F.inline(F.array(own, east)))
+    weights = weights.select(F.struct("nj", "ni").alias("tgt_id"), F.struct("nj", C("from").alias("ni")).alias("src_id"), "w")
+
+    def regrid(b: DataFrame, name: str) -> DataFrame:
+        made = spatial.apply_weights(b.select(F.struct("nj", "ni").alias("src_id"), name), weights, [], name)
+        return made.select("tgt_id.nj", "tgt_id.ni", name)
+
+    return windows.centre_speed(s, [], "Tx", regrid=regrid).select("nj", "ni", "speed")
+
+
 @query("""WITH x AS (SELECT s_nationkey AS k, CAST(s_suppkey AS DOUBLE) AS lat FROM supplier), e AS (SELECT *, lag(lat) OVER w AS b, lead(lat) OVER w AS a FROM x WINDOW w AS (PARTITION BY k ORDER BY lat))
 SELECT k, lat, CASE WHEN coalesce(a, b) IS NOT NULL THEN least(greatest(coalesce((lat + b) / 2, lat - (a - lat) / 2), -90), 90) END AS lo,
   CASE WHEN coalesce(a, b) IS NOT NULL THEN least(greatest(coalesce((lat + a) / 2, lat + (lat - b) / 2), -90), 90) END AS hi,
@@ -797,6 +823,39 @@ def f30_x06_line_parts(t: Tables) -> DataFrame:
     return t.read("supplier").select(C("s_suppkey").alias("id"), F.inline(spatial.line_parts(vertices)))
 
 
+#: Rectangles with a hole, and cells of 5 by 4.
+POLYGONS = """outlines AS (SELECT s_suppkey AS id, CAST((s_suppkey * 13) % 47 AS DOUBLE) + 0.3 AS x, CAST((s_suppkey * 29) % 41 AS DOUBLE) + 0.6 AS y, 2.0 + s_suppkey % 5 AS w, 3.0 + s_suppkey % 4 AS h FROM supplier),
+grid AS (SELECT CAST(i * 100 + j AS INTEGER) AS cell_id, i * 5.0 AS x0, j * 4.0 AS y0 FROM range(12) a(i), range(13) b(j)),
+boxes AS (SELECT id, x AS lx, y AS ly, x + w AS hx, y + h AS hy, 1 AS sign FROM outlines UNION ALL SELECT id, x + 0.5, y + 1, x + 1.25, y + 2.5, -1 FROM outlines),
+cover AS (SELECT id, cell_id, sum(sign * greatest(0, least(hx, x0 + 5) - greatest(lx, x0)) * greatest(0, least(hy, y0 + 4) - greatest(ly, y0))) AS area FROM boxes, grid GROUP BY 1, 2 HAVING area > 1e-7)"""
+
+
+def rectangle(x: Column, y: Column, w: Column, h: Column) -> Column:
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    return F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x, y + h))
+
+
+def cover(t: Tables) -> DataFrame:
+    k = C("s_suppkey")
+    x, y = ((k * 13) % 47).cast("double") + 0.3, ((k * 29) % 41).cast("double") + 0.6
+    s = t.read("supplier")
+    outer = s.select(k.alias("id"), rectangle(x, y, 2 + k % 5, 3 + k % 4).alias("ring"), F.lit(False).alias("hole"))
+    inner = s.select(k.alias("id"), F.reverse(rectangle(x + 0.5, y + 1, F.lit(0.75), F.lit(1.5))).alias("ring"), F.lit(True).alias("hole"))
+    i, j = F.floor(C("id") / 13).cast("int"), (C("id") % 13).cast("int")
+    cells = t.spark.range(12 * 13).select((i * 100 + j).alias("cell_id"), rectangle(i * 5, j * 4, F.lit(5), F.lit(4)).alias("corners"))
+    return spatial.polygon_cover(outer.union(inner), cells, 5.0)
+
+
+@query(f"WITH {POLYGONS} SELECT id, cell_id, area FROM cover")
+def j18_polygon_by_cell(t: Tables) -> DataFrame:
+    return cover(t).select("id", "cell_id", "area")
+
+
+@query(f"WITH {POLYGONS} SELECT cell_id, sum(area) AS area, count(*) AS hits, least(sum(area) / 20, 1) AS fraction FROM cover GROUP BY 1")
+def j18_g09_occupancy(t: Tables) -> DataFrame:
+    return spatial.occupancy(cover(t))
+
+
 # --- sources and sinks ------------------------------------------------------------------------------------------------
 
 
@@ -956,6 +1015,14 @@ def metric_catalogue_stress(t: Tables) -> DataFrame:
     return compute(dynamics(t), metric_names(groups=("F:stress", "P:stress", "S:stress"))).select("metric", "time", "value")
 
 
+@query(f"""WITH {DAILY}, d AS (SELECT time, sum(area) FILTER (WHERE fi) / 1e12 AS extent, coalesce(sum(area) FILTER (WHERE fi), 0) / 1e9 AS FIA FROM masks GROUP BY time)
+SELECT 'extent' AS metric, time, extent AS value FROM d UNION ALL SELECT 'FIA', time, FIA FROM d UNION ALL SELECT 'SIA', time, coalesce(sum(CAST(aice AS DOUBLE) * area) FILTER (WHERE si), 0) / 1e9 FROM masks GROUP BY time""")
+def x02_x03_calculators(t: Tables) -> DataFrame:
+    whole = lambda have: F.sum(F.when(C("fi"), C("area")))
+    own = {"extent": lambda have: whole(have) / 1e12, "FIA": lambda have: F.coalesce(whole(have), F.lit(0.0)) / 1e9}
+    return compute(t.masks(), ["SIA", "FIA", "extent"], calculators=own).select("metric", "time", "value")
+
+
 TERMS = """proxies AS (SELECT *, (coalesce(KuxE, 0) + coalesce(KuxN, 0)) / nullif((KuxE IS NOT NULL)::INT + (KuxN IS NOT NULL)::INT, 0) AS ld_x_proxy,
   (coalesce(KuyE, 0) + coalesce(KuyN, 0)) / nullif((KuyE IS NOT NULL)::INT + (KuyN IS NOT NULL)::INT, 0) AS ld_y_proxy, sqrt(strairx ** 2 + strairy ** 2) AS tau_air,
   sqrt(strocnx ** 2 + strocny ** 2) AS tau_ocean, sqrt(strintx ** 2 + strinty ** 2) AS tau_internal, 917.0::DOUBLE * CAST(hi AS DOUBLE) * CAST(aice AS DOUBLE) AS mass FROM dynamics),

@@ -154,6 +154,24 @@ def s17_s20_ready_series(t: Tables) -> DataFrame:
     return tables.product(t.spark, root, {"SIA": "sia"}, date(1997, 1, 1), date(1998, 12, 31)).select("time", "sia")
 
 
+@query(f"WITH {SERIES} SELECT time, v / 1e3 AS sia, v * 2 / 1e6 AS other FROM series WHERE time BETWEEN DATE '1996-02-01' AND DATE '1997-03-31'")
+def s30_area_series_by_units(t: Tables) -> DataFrame:
+    root, days = sinks.scratch(t.spark), (date(1996, 2, 1), date(1997, 3, 31))
+    sinks.append(t.series().select("time", C("v").alias("sea_ice_area"), (C("v") * 2).alias("other"), F.lit("10^3 km^2").alias("units")), root)
+    own = tables.area_series(t.spark, root, first=days[0], last=days[1])
+    other = tables.area_series(t.spark, root, variable="other", unit="km2", first=days[0], last=days[1])
+    return own.join(other.withColumnRenamed("sia", "other"), "time")
+
+
+@query(f"WITH {DAILY} SELECT time, cell, fi, TRUE AS first, FALSE AS again, TRUE AS forced FROM masks WHERE lat < -62")
+def k08_native_mask(t: Tables) -> DataFrame:
+    root, columns = sinks.scratch(t.spark), ("time", "cell", "fi")
+    made = t.masks().where("lat < -62")
+    done = [sinks.classification(made.limit(1), root, columns=columns), sinks.classification(made.limit(1), root, columns=columns)]
+    done.append(sinks.classification(made, root, columns=columns, overwrite=True))
+    return t.spark.read.parquet(root).select("*", *[F.lit(d).alias(c) for d, c in zip(done, ("first", "again", "forced"), strict=True)])
+
+
 @query("""SELECT CAST(l_shipdate AS DATE) AS time, l_orderkey AS cell, l_linenumber AS code FROM lineitem WHERE l_shipdate >= DATE '1996-06-01' AND l_shipdate < DATE '1998-02-01'""")
 def s19_s21_yearly_rasters(t: Tables) -> DataFrame:
     root, time = sinks.scratch(t.spark), C("l_shipdate").cast("date")

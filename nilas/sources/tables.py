@@ -75,6 +75,29 @@ def product(spark: SparkSession, root: str, names: dict[str, str] | None = None,
     return df if first is None else df.where(pred.in_days(F.col("time"), first, last))
 
 
+#: The names that an area series goes by, in order of preference.
+AREA_SERIES = ("SIA", "sia", "sea_ice_area")
+
+
+def area_series(
+    spark: SparkSession, root: str, *, variable: str | None = None, candidates: tuple[str, ...] = AREA_SERIES, unit: str | None = None,
+    first: date | None = None, last: date | None = None,
+) -> DataFrame:
+    """time and sia (millions of square kilometres) of a stored series, by its `units` column or the units given. None in the range is an error."""
+    df = spark.read.parquet(root)
+    name = variable or next((c for c in candidates if c in df.columns), None)
+    if name not in df.columns:
+        raise LookupError(f"{name or ' or '.join(candidates)} not among {df.columns}")
+    if first is not None:
+        df = df.where(F.col("time") >= F.lit(first))
+    if last is not None:
+        df = df.where(F.col("time") < F.date_add(F.lit(last), 1))
+    if df.isEmpty():
+        raise LookupError(f"no row between {first or 'the start'} and {last or 'the end'}")
+    unit = F.lit(unit) if unit is not None else F.col("units")
+    return df.select("time", units.area_million_km2(F.col(name).cast("double"), unit).alias("sia"))
+
+
 def yearly(spark: SparkSession, root: str, first: date, last: date, needs: tuple[str, ...] = ()) -> DataFrame:
     """Rasters that are stored by `year`: only the years of the range are read. A needed column that isn't there is an error."""
     df = spark.read.parquet(root)

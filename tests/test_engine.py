@@ -1,5 +1,7 @@
 """Hand-made grids, driver-side names, and tables written and read again."""
 
+import math
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -218,6 +220,64 @@ def test_clipped_lines_keep_their_length(spark):
     assert r[0] == pytest.approx(9 + 0 + 8) and r[1] == pytest.approx(4 + 6.5)
 
 
+def clipped_area(polygon, quad):
+    """Area of a polygon in a convex quad that runs counter-clockwise: cut by one side after the other."""
+    points = polygon
+    for (ax, ay), (bx, by) in zip(quad, quad[1:] + quad[:1], strict=True):
+        side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: B023, E731
+        made = []
+        for p, q in zip(points, points[1:] + points[:1], strict=True):
+            s, e = side(p), side(q)
+            if s >= 0:
+                made.append(p)
+            if s * e < 0:
+                made.append((p[0] + (q[0] - p[0]) * s / (s - e), p[1] + (q[1] - p[1]) * s / (s - e)))
+        points = made
+        if not points:
+            return 0.0
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True))) / 2
+
+
+def test_polygons_in_slanted_cells_equal_brute_force(spark):
+    """Star-shaped polygons, concave and in both directions, in a sheared grid of quads; one ring is unknown, one cell is far."""
+    rng = random.Random(5)
+    polygons, cells = {}, {}
+    for k in range(25):
+        x, y, n = rng.uniform(-12, 12), rng.uniform(-12, 12), rng.randint(3, 9)
+        ring = [(x + r * math.cos(2 * math.pi * a / n), y + r * math.sin(2 * math.pi * a / n)) for a, r in enumerate(rng.uniform(0.3, 6) for _ in range(n))]
+        polygons[k] = ring if k % 2 else ring[::-1]
+    for i in range(-5, 5):
+        for j in range(-5, 5):
+            corner = lambda a, b: (2.7 * a + 0.6 * b, 2.3 * b - 0.4 * a)
+            cells[i * 100 + j] = [corner(i, j), corner(i + 1, j), corner(i + 1, j + 1), corner(i, j + 1)]
+    cells[9999] = [(500.0, 500.0), (501.0, 500.0), (501.0, 501.0), (500.0, 501.0)]
+    want = {(k, c): a for k, p in polygons.items() for c, q in cells.items() if (a := clipped_area(p, q)) > 1e-7}
+    rings = [*[(k, p, False) for k, p in polygons.items()], (77, [(0.0, 0.0), (1.0, None), (1.0, 1.0)], False), (78, [(0.0, 0.0), (1.0, 1.0)], False), (79, [], False), (80, None, False)]
+    p = spark.createDataFrame(rings, "id int, ring array<struct<x:double,y:double>>, hole boolean")
+    c = spark.createDataFrame(list(cells.items()), "cell_id int, corners array<struct<x:double,y:double>>")
+    for size in (1.3, 5.0):
+        rows = spatial.polygon_cover(p, c, size).collect()
+        got = {(r.id, r.cell_id): r.area for r in rows if r.area > 1e-7}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(a, rel=1e-9, abs=1e-10) for k, a in want.items())
+        assert all(r.cell_area == pytest.approx(2.7 * 2.3 + 0.6 * 0.4) for r in rows)
+    holes = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], False), (1, [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)], True)], p.schema)
+    box = spark.createDataFrame([(1, [(0.0, 0.0), (2.0, 0.0), (2.0, 4.0), (0.0, 4.0)]), (2, [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)])], c.schema)
+    assert [(r.cell_id, r.area, r.hits, r.fraction) for r in spatial.occupancy(spatial.polygon_cover(holes, box, 2.0)).collect()] == [(1, 6.0, 1, 0.75)]
+    twice = holes.where("NOT hole").union(holes.where("NOT hole").withColumn("id", F.lit(2)))
+    assert {r.cell_id: (r.hits, r.fraction) for r in spatial.occupancy(spatial.polygon_cover(twice, box, 2.0)).collect()} == {1: (2, 1.0), 2: (2, 1.0)}
+    assert spatial.polygon_cover(p.limit(0), c, 2.0).isEmpty()
+
+
+def test_fields_with_one_line_more(spark):
+    df = spark.createDataFrame([(j, i, None if (j, i) == (0, 3) else float(10 * j + i)) for j in range(3) for i in range(4)], "nj int, ni int, u double")
+    x = {(r.nj, r.ni): r.centre for r in windows.enclosed_centres(df, "u", [], "x", wrap=False).collect()}
+    assert len(x) == 9 and x[(0, 2)] is None and x[(1, 2)] == 12.5
+    y = {(r.nj, r.ni): r.centre for r in windows.enclosed_centres(df, "u", [], "y", zero=True).collect()}
+    assert len(y) == 8 and y[(0, 1)] == 6.0 and y[(0, 3)] == y[(0, 0)] == 5.0
+    xy = {(r.nj, r.ni): r.centre for r in windows.enclosed_centres(df, "u", [], "xy", wrap=False).collect()}
+    assert len(xy) == 6 and xy[(0, 0)] == 5.5 and xy[(0, 2)] is None and xy[(1, 2)] == 17.5
+
+
 def test_polar_plane_round_trip(spark):
     df = spark.createDataFrame([(lon, lat) for lon in (-170.0, -30.0, 0.0, 90.0) for lat in (-89.0, -71.0, -55.0)], "lon double, lat double")
     x, y = angles.polar_xy(F.col("lon"), F.col("lat"))
@@ -324,6 +384,28 @@ def test_stability_and_skill_in_the_catalogue(spark):
         compute(df, ["FIT_Bias"], obs=obs)
 
 
+def test_calculators_stand_in_for_the_catalogue(spark):
+    rows = [(date(2000, m, 1), 1, True, 0.5, 1.0, 1e9 * m) for m in (3, 9)]
+    df = spark.createDataFrame(rows, "time date, cell int, fi boolean, aice double, hi double, area double")
+    got = {(r.metric, r.time): (r.value, r.units) for r in compute(df, ["FIA", "cells"], calculators={"cells": lambda have: F.count(F.when(F.lit("hi" in have), 1))}).collect()}
+    assert got == {("FIA", date(2000, 3, 1)): (1.5, "1e3 km2"), ("FIA", date(2000, 9, 1)): (4.5, "1e3 km2"), ("cells", date(2000, 3, 1)): (1.0, None), ("cells", date(2000, 9, 1)): (1.0, None)}
+    twice = {"FIA": lambda have: F.sum("area") / 1e9}
+    obs = spark.createDataFrame([(date(2000, 3, 1), 1.0), (date(2000, 9, 1), 1.0)], "time date, FIA double")
+    assert [r.value for r in compute(df, ["FIA_Bias"], obs=obs, calculators=twice).collect()] == [5.0]
+    with pytest.raises(ValueError):
+        compute(df, ["cells"])
+
+
+def test_area_series_of_a_store(spark, tmp_path):
+    root = str(tmp_path / "s")
+    spark.createDataFrame([(date(2000, 1, d), 2e6 * d, "km2") for d in (1, 2)], "time date, sia double, units string").write.parquet(root)
+    assert [r.sia for r in sources.area_series(spark, root, last=date(2000, 1, 1)).collect()] == [2.0]
+    assert sorted(r.sia for r in sources.area_series(spark, root, unit="m2", first=date(2000, 1, 1)).collect()) == [2e-6, 4e-6]
+    for asked in ({"variable": "other"}, {"candidates": ("SIA",)}, {"first": date(2001, 1, 1)}):
+        with pytest.raises(LookupError):
+            sources.area_series(spark, root, **asked)
+
+
 # --- tables
 
 
