@@ -226,6 +226,77 @@ def occupancy(cover: DataFrame) -> DataFrame:
     return out.select("cell_id", "area", "hits", F.least(F.col("area") / F.col("cell_area"), F.lit(1.0)).alias("fraction"))
 
 
+def conservative_weights(sources: DataFrame, targets: DataFrame, size: float, normalised: bool = True) -> DataFrame:
+    """First-order conservative weights from source cells (src_id, corners) to target cells (tgt_id, corners): tgt_id, src_id, w.
+
+    A weight is the share of the target that the source covers; normalised, of
+    the part that any source covers. Targets that none covers have no weight.
+    """
+    rings = sources.select(F.col("src_id").alias("id"), F.col("corners").alias("ring"), F.lit(False).alias("hole"))
+    met = polygon_cover(rings, targets.select(F.col("tgt_id").alias("cell_id"), "corners"), size)
+    whole = F.sum("area").over(Window.partitionBy("cell_id")) if normalised else F.col("cell_area")
+    return met.select(F.col("cell_id").alias("tgt_id"), F.col("id").alias("src_id"), (F.col("area") / whole).alias("w"))
+
+
+def cells_of_corners(corners: DataFrame, j: str = "nj", i: str = "ni") -> DataFrame:
+    """Cells between corners (x, y in a plane): j, i, `corners` and the unit vectors along its rows (eix, eiy) and columns (ejx, ejy).
+
+    Cells without all four corners, without area or without a direction are left out.
+    """
+    along, up = Window.partitionBy(j).orderBy(i), Window.partitionBy(i).orderBy(j)
+    point = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    c = corners.select(j, i, point.alias("_a")).withColumns({"_b": F.when(F.lead(i).over(along) == F.col(i) + 1, F.lead("_a").over(along))})
+    above = F.lead(j).over(up) == F.col(j) + 1
+    c = c.withColumns({"_d": F.when(above, F.lead("_a").over(up)), "_c": F.when(above, F.lead("_b").over(up))}).dropna(subset=["_a", "_b", "_c", "_d"])
+    vector = {
+        f"_{n}{z}": (F.col(f"{p}.{z}") + F.col(f"{q}.{z}") - F.col(f"{r}.{z}") - F.col(f"{s}.{z}")) / 2
+        for n, (p, q, r, s) in {"i": ("_b", "_c", "_a", "_d"), "j": ("_c", "_d", "_a", "_b")}.items() for z in "xy"
+    }
+    c = c.withColumn("corners", F.array("_a", "_b", "_c", "_d")).withColumns(vector)
+    length = {n: F.hypot(f"_{n}x", f"_{n}y") for n in "ij"}
+    c = c.where((shoelace(F.col("corners")) > 0) & (length["i"] > 0) & (length["j"] > 0))
+    return c.select(j, i, "corners", *[(F.col(f"_{n}{z}") / length[n]).alias(f"e{n}{z}") for n in "ij" for z in "xy"])
+
+
+def line_cover(segments: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """Projected length of lines in the cells that they cross: cell_id, sum_i, sum_j, hits (lines), fx and fy (the sums over dx and dy).
+
+    segments: source, x0, y0, x1, y1. cells: cell_id, corners (convex), the unit
+    vectors eix, eiy, ejx, ejy, and dx, dy. Bounding boxes are hashed to squares
+    of `size`, and a segment meets a cell once, in the first square of both.
+    """
+
+    def boxed(df: DataFrame, prefix: str, xs: Column, ys: Column) -> DataFrame:
+        at = {f"{prefix}{c}{n}": F.floor(f(v) / size).cast("int") for c, v in (("x", xs), ("y", ys)) for n, f in (("0", F.array_min), ("1", F.array_max))}
+        df = df.withColumns(at)
+        return df.withColumn("bx", F.explode(F.sequence(f"{prefix}x0", f"{prefix}x1"))).withColumn("by", F.explode(F.sequence(f"{prefix}y0", f"{prefix}y1")))
+
+    p = F.when(signed_area(F.col("corners")) < 0, F.reverse("corners")).otherwise(F.col("corners"))
+    around = F.zip_with(p, following(p), lambda a, b: F.struct(a["x"].alias("x"), a["y"].alias("y"), (b["x"] - a["x"]).alias("u"), (b["y"] - a["y"]).alias("v")))
+    c = boxed(cells.withColumn("_sides", around), "_c", F.transform("corners", lambda q: q["x"]), F.transform("corners", lambda q: q["y"]))
+    s = boxed(segments.select("source", "x0", "y0", "x1", "y1").dropna(), "_s", F.array("x0", "x1"), F.array("y0", "y1"))
+    met = s.join(c, ["bx", "by"]).where((F.col("bx") == F.greatest("_sx0", "_cx0")) & (F.col("by") == F.greatest("_sy0", "_cy0")))
+
+    def left_of(side: Column, n: int) -> Column:
+        return side["u"] * (F.col(f"y{n}") - side["y"]) - side["v"] * (F.col(f"x{n}") - side["x"])
+
+    def enters(side: Column) -> Column:
+        a, b = left_of(side, 0), left_of(side, 1)
+        return F.when((a < 0) & (b < 0), 2.0).when(a < 0, a / (a - b)).otherwise(0.0)
+
+    def leaves(side: Column) -> Column:
+        a, b = left_of(side, 0), left_of(side, 1)
+        return F.when((a < 0) & (b < 0), -1.0).when(b < 0, a / (a - b)).otherwise(1.0)
+
+    part = F.array_min(F.transform("_sides", leaves)) - F.array_max(F.transform("_sides", enters))
+    inside = met.withColumn("_part", part).where("_part > 0")
+    along = {n: F.abs((F.col("x1") - F.col("x0")) * F.col(f"e{n}x") + (F.col("y1") - F.col("y0")) * F.col(f"e{n}y")) * F.col("_part") for n in "ij"}
+    by_line = inside.groupBy("cell_id", "source", "dx", "dy").agg(F.sum(along["i"]).alias("_i"), F.sum(along["j"]).alias("_j"))
+    out = by_line.groupBy("cell_id", "dx", "dy").agg(F.sum("_i").alias("sum_i"), F.sum("_j").alias("sum_j"), F.count("*").alias("hits"))
+    over = lambda total, side: F.when(F.col(side) > 0, F.col(total) / F.col(side)).otherwise(0.0)
+    return out.select("cell_id", "sum_i", "sum_j", "hits", over("sum_i", "dx").alias("fx"), over("sum_j", "dy").alias("fy"))
+
+
 def line_parts(vertices: Column) -> Column:
     """Segments of an array of vertices, to explode."""
     return F.zip_with(

@@ -798,16 +798,43 @@ def segments(t: Tables) -> DataFrame:
     return t.read("supplier").select(k.alias("id"), x.alias("x0"), y.alias("y0"), (x + k % 9).alias("x1"), (y - k % 7).alias("y1"))
 
 
-@query(f"""WITH {SEGMENTS}, b AS (SELECT seg.*, cx, cy FROM seg, (SELECT range AS cx FROM range(-3, 15)) a, (SELECT range AS cy FROM range(-3, 15)) c),
+#: Segments by cells of 5 by 5, and the first and last parameter of each part.
+CLIPPED = f"""{SEGMENTS}, b AS (SELECT seg.*, cx, cy FROM seg, (SELECT range AS cx FROM range(-3, 15)) a, (SELECT range AS cy FROM range(-3, 15)) c),
 p AS (SELECT *, greatest(0, CASE WHEN x1 = x0 THEN CASE WHEN x0 < cx * 5 OR x0 > cx * 5 + 5 THEN 2 ELSE 0 END ELSE least((cx * 5 - x0) / nullif(x1 - x0, 0), (cx * 5 + 5 - x0) / nullif(x1 - x0, 0)) END,
   CASE WHEN y1 = y0 THEN CASE WHEN y0 < cy * 5 OR y0 > cy * 5 + 5 THEN 2 ELSE 0 END ELSE least((cy * 5 - y0) / nullif(y1 - y0, 0), (cy * 5 + 5 - y0) / nullif(y1 - y0, 0)) END) AS a,
   least(1, CASE WHEN x1 = x0 THEN CASE WHEN x0 < cx * 5 OR x0 > cx * 5 + 5 THEN -1 ELSE 1 END ELSE greatest((cx * 5 - x0) / nullif(x1 - x0, 0), (cx * 5 + 5 - x0) / nullif(x1 - x0, 0)) END,
-  CASE WHEN y1 = y0 THEN CASE WHEN y0 < cy * 5 OR y0 > cy * 5 + 5 THEN -1 ELSE 1 END ELSE greatest((cy * 5 - y0) / nullif(y1 - y0, 0), (cy * 5 + 5 - y0) / nullif(y1 - y0, 0)) END) AS z FROM b)
+  CASE WHEN y1 = y0 THEN CASE WHEN y0 < cy * 5 OR y0 > cy * 5 + 5 THEN -1 ELSE 1 END ELSE greatest((cy * 5 - y0) / nullif(y1 - y0, 0), (cy * 5 + 5 - y0) / nullif(y1 - y0, 0)) END) AS z FROM b)"""
+
+
+@query(f"""WITH {CLIPPED}
 SELECT CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy, sum(abs(x1 - x0) * (z - a)) / 5 AS fx, sum(abs(y1 - y0) * (z - a)) / 5 AS fy FROM p WHERE z - a > 0 GROUP BY 1, 2""")
 def j17_f28_g09_line_density(t: Tables) -> DataFrame:
     return spatial.line_density(segments(t), 5.0)
 
 
+@query(f"""WITH {CLIPPED}
+SELECT CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy, sum(abs(x1 - x0) * (z - a)) AS sum_i, sum(abs(y1 - y0) * (z - a)) AS sum_j, count(DISTINCT id % 10) AS hits, sum(abs(x1 - x0) * (z - a)) / 5 AS fx,
+  sum(abs(y1 - y0) * (z - a)) / 4 AS fy FROM p WHERE z - a > 0 GROUP BY 1, 2""")
+def j17_f29_lines_by_cell(t: Tables) -> DataFrame:
+    i, j = (C("id") % 19 - 3).cast("int"), (F.floor(C("id") / 19) - 3).cast("int")
+    corners = t.spark.range(19 * 19).select(j.alias("nj"), i.alias("ni"), (i * 5).alias("x"), (j * 5).alias("y"))
+    cells = spatial.cells_of_corners(corners).select(F.struct(C("ni").alias("cx"), C("nj").alias("cy")).alias("cell_id"), "corners", "eix", "eiy", "ejx", "ejy", F.lit(5.0).alias("dx"), F.lit(4.0).alias("dy"))
+    return spatial.line_cover(segments(t).withColumn("source", C("id") % 10), cells, 5.0).select("cell_id.*", "sum_i", "sum_j", "hits", "fx", "fy")
+
+
+@query(f"""WITH {STAGGERED}, o AS (SELECT i * 100 + j AS tgt_id, u, v, greatest(0, least(ni + 1, i * 2.5 + 2.5) - greatest(ni, i * 2.5)) * greatest(0, least(nj + 1, j * 1.7 + 1.7) - greatest(nj, j * 1.7)) AS a
+  FROM staggered, range(6) x(i), range(7) y(j))
+SELECT tgt_id, sum(u * a) / sum(a) AS mean, sum(u * a) / (2.5 * 1.7) AS share FROM o WHERE a > 1e-7 GROUP BY 1""")
+def j19_g05_conservative_weights(t: Tables) -> DataFrame:
+    one = F.lit(1)
+    sources = t.staggered().select(F.struct("nj", "ni").alias("src_id"), "u", rectangle(C("ni"), C("nj"), one, one).alias("corners"))
+    i, j = F.floor(C("id") / 7), C("id") % 7
+    targets = t.spark.range(42).select((i * 100 + j).alias("tgt_id"), rectangle(i * 2.5, j * 1.7, F.lit(2.5), F.lit(1.7)).alias("corners"))
+    values = sources.select("src_id", "u")
+    made = [spatial.apply_weights(values, spatial.conservative_weights(sources, targets, 2.5, n), [], "u") for n in (True, False)]
+    return made[0].withColumnRenamed("u", "mean").join(made[1].withColumnRenamed("u", "share"), "tgt_id")
+
+
 @query("SELECT s_suppkey AS id, CAST((2 + s_suppkey % 5) * (3 + s_suppkey % 4) AS DOUBLE) AS area FROM supplier")
 def j18_f29_polygon_area(t: Tables) -> DataFrame:
     k = C("s_suppkey")

@@ -268,6 +268,48 @@ def test_polygons_in_slanted_cells_equal_brute_force(spark):
     assert spatial.polygon_cover(p.limit(0), c, 2.0).isEmpty()
 
 
+def slanted(spark, n=8):
+    """Corners of a sheared grid, the one at (0, 0) in the origin."""
+    return spark.createDataFrame([(j, i, 2.0 * i + 0.5 * j, 1.5 * j - 0.3 * i) for j in range(-n, n) for i in range(-n, n)], "nj int, ni int, x double, y double")
+
+
+def test_lines_in_slanted_cells_keep_their_length(spark):
+    cells = spatial.cells_of_corners(slanted(spark)).withColumns({"cell_id": F.struct("nj", "ni"), "dx": F.lit(2.0), "dy": F.lit(0.0)})
+    rng = random.Random(3)
+    lines = [(k // 3, *[rng.uniform(-4, 4) for _ in range(4)]) for k in range(60)]
+    s = spark.createDataFrame([*lines, (90, 1.0, 1.0, 1.0, 1.0), (91, float("nan"), 1.0, 2.0, 2.0)], "source int, x0 double, y0 double, x1 double, y1 double")
+    i, j = (2.0 / math.hypot(2, 0.3), -0.3 / math.hypot(2, 0.3)), (0.5 / math.hypot(0.5, 1.5), 1.5 / math.hypot(0.5, 1.5))
+    along = [sum(abs((c - a) * e[0] + (d - b) * e[1]) for _, a, b, c, d in lines) for e in (i, j)]
+    for size in (1.1, 4.0):
+        out = spatial.line_cover(s, cells, size)
+        r = out.agg(F.sum("sum_i"), F.sum("sum_j"), F.sum("fx"), F.sum("fy"), F.max("hits")).first()
+        assert [r[0], r[1], r[2], r[3]] == [pytest.approx(along[0]), pytest.approx(along[1]), pytest.approx(along[0] / 2), 0.0] and r[4] <= 20
+    alone = s.limit(0).union(spark.createDataFrame([(1, 0.1, 0.1, 0.9, 0.1), (1, 0.9, 0.1, 0.9, 0.2), (2, -50.0, 0.7, 50.0, 0.7)], s.schema))
+    mine = spatial.line_cover(alone, cells, 2.0).where("cell_id.nj = 0 AND cell_id.ni = 0").first()
+    assert mine.hits == 2
+
+
+def test_cells_need_all_corners_and_area(spark):
+    whole = slanted(spark, 2)
+    assert spatial.cells_of_corners(whole).count() == 9
+    holed = whole.withColumn("x", F.when((F.col("nj") != 0) | (F.col("ni") != 0), F.col("x")))
+    assert spatial.cells_of_corners(holed).count() == 5 and spatial.cells_of_corners(whole.where("ni != 0")).count() == 3
+    assert spatial.cells_of_corners(whole.withColumn("y", F.lit(0.0))).count() == 0
+
+
+def test_conservative_weights_keep_sums_and_constants(spark):
+    grid = spatial.cells_of_corners(slanted(spark)).select(F.struct("nj", "ni").alias("src_id"), "corners")
+    square = lambda a, b: [(a, b), (a + 1.7, b), (a + 1.7, b + 1.7), (a, b + 1.7)]
+    inside = spark.createDataFrame([(k, square(1.7 * (k % 3) - 2, 1.7 * (k // 3) - 2)) for k in range(9)] + [(9, square(15.0, 0.0)), (10, square(90.0, 90.0))], "tgt_id int, corners array<struct<x:double,y:double>>")
+    sums = {r.tgt_id: r.w for r in spatial.conservative_weights(grid, inside, 2.0).groupBy("tgt_id").agg(F.sum("w").alias("w")).collect()}
+    shares = {r.tgt_id: r.w for r in spatial.conservative_weights(grid, inside, 2.0, normalised=False).groupBy("tgt_id").agg(F.sum("w").alias("w")).collect()}
+    assert sums.keys() == shares.keys() == set(range(10)) and all(v == pytest.approx(1.0) for v in sums.values())
+    assert all(shares[k] == pytest.approx(1.0) for k in range(9)) and 0 < shares[9] < 1
+    back = spatial.conservative_weights(inside.where("tgt_id < 9").withColumnRenamed("tgt_id", "src_id"), grid.withColumnRenamed("src_id", "tgt_id"), 2.0, normalised=False)
+    kept = back.groupBy("src_id").agg((F.sum("w") * (2.0 * 1.5 + 0.5 * 0.3)).alias("area")).collect()
+    assert len(kept) == 9 and all(r.area == pytest.approx(1.7**2) for r in kept)
+
+
 def test_fields_with_one_line_more(spark):
     df = spark.createDataFrame([(j, i, None if (j, i) == (0, 3) else float(10 * j + i)) for j in range(3) for i in range(4)], "nj int, ni int, u double")
     x = {(r.nj, r.ni): r.centre for r in windows.enclosed_centres(df, "u", [], "x", wrap=False).collect()}
