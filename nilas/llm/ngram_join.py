@@ -300,10 +300,11 @@ def similar(
     one = F.min(F.struct("id", "th", "row")).alias("one")
     reps = found.where(some).groupBy("c1", "c2").agg(one, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
-    keyed = bands(reps)
+    keyed = written(bands(reps), "bands")
     least = keyed.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("_n")).where(F.col("_n") > 1)
     near = keyed.join(dealt_anew(least).select("key", "v"), "key").select(F.col("node").alias("u"), "v")
     groups = components(near).select("node", F.col("component").alias("comp"))
+    discard(keyed)
     members = groups.join(reps.select("node", "one.id", "one.th", "copies", "n", "sig"), "node")
     sizes = groups.join(reps.select("node", "n"), "node").groupBy("comp").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
     tiles = F.greatest(F.ceil(F.col("_m") / tile_rows), F.ceil(8 * F.col("_s") / tile_bytes)).cast("int")
