@@ -155,6 +155,14 @@ def test_suffix_index_of_hard_rows(hard, empty):
     assert suffix_index.remove_repeats(empty).count() == 0
 
 
+def test_suffix_index_tells_rows_of_one_id_apart(spark):
+    a, b = ("".join(hashlib.md5(f"{i}:{j}".encode()).hexdigest() for j in range(13)) for i in (48337, 107172))
+    texts = [(1, a), (1, b), (2, a)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert df.select(F.hash("text")).distinct().count() == 1
+    assert found_spans(df) == brute_spans([(i, t.encode()) for i, t in texts], 400)
+
+
 def test_family_finds_every_seed(spark, monkeypatch):
     rng = random.Random(8)
     rows_ = [(rng.randint(-30, 30), rng.randint(0, 9), rng.randint(-9, 9), rng.randint(0, 2), i, i % 3) for i in range(1500)]
