@@ -10,54 +10,72 @@ from pyspark.sql import functions as F
 from nilas.functions.angles import EARTH_KM, chord_km, circular_mean, lon360, polar_lonlat, unit_xyz
 
 
+#: Widths of the cubes of unit vectors in which places are looked for, each a quarter of the one before.
+WIDTHS = tuple(2.0**-n for n in (1, 3, 5, 7, 9))
+
+
 def neighbours(targets: DataFrame, sources: DataFrame, k: int, radius_km: float) -> DataFrame:
     """The k nearest sources of each target within a radius; ties to the smaller id.
 
-    targets: tgt_id, lon, lat; sources: src_id, lon, lat. Points are hashed to
-    cubes of unit vectors as wide as the radius's chord, and each target meets
-    the 27 cubes around it: an equi-join that holds for any number of points.
+    targets: tgt_id, lon, lat; sources: src_id, lon, lat. Of the sources at one
+    place only the k smallest ids can be among the k nearest, and targets at one
+    place have the same neighbours: places are compared with places, and each
+    with those alone that can hold one of its k nearest.
     """
-    width = 2 * math.sin(min(radius_km / (2 * EARTH_KM), math.pi / 2)) or 1e-9
+    reach = 2 * math.sin(min(radius_km / (2 * EARTH_KM), math.pi / 2))
+    placed = lambda prefix: [v.alias(f"{prefix}{c}") for c, v in zip("xyz", unit_xyz(F.col("lon"), F.col("lat")), strict=True)]
 
-    def placed(df: DataFrame, prefix: str) -> DataFrame:
-        x, y, z = unit_xyz(F.col("lon"), F.col("lat"))
-        df = df.withColumns({f"{prefix}x": x, f"{prefix}y": y, f"{prefix}z": z})
-        return df.withColumns({c: F.floor(F.col(f"{prefix}{c[1]}") / width).cast("int") for c in ("cx", "cy", "cz")}).drop("lon", "lat")
+    def least(df: DataFrame, by: tuple[str, ...], *order: str) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
-    t, s = placed(targets, "t"), placed(sources, "s")
-    for c in ("cx", "cy", "cz"):
-        t = t.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    at_place = least(sources.select("src_id", "lon", "lat").dropna(subset=["lon", "lat"]), ("lon", "lat"), "src_id")
+    s = at_place.groupBy("lon", "lat").agg(F.collect_list(F.struct("src_id")).alias("_ids")).select("_ids", F.size("_ids").alias("_n"), *placed("s"))
+    t = targets.select("lon", "lat").dropna().distinct().select(F.struct("lon", "lat").alias("tgt_id"), *placed("t"))
     chord = F.sqrt(sum(((F.col(f"t{c}") - F.col(f"s{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
-    met = t.join(s, ["cx", "cy", "cz"]).select("tgt_id", "src_id", chord_km(chord).alias("km")).where(F.col("km") <= radius_km)
-    best = Window.partitionBy("tgt_id").orderBy("km", "src_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    met = candidates(t, s, ("x", "y", "z"), WIDTHS, k, reach).select("tgt_id", chord_km(chord).alias("km"), "_ids").where(F.col("km") <= radius_km)
+    near = least(met.select("tgt_id", "km", F.inline("_ids")), ("tgt_id",), "km", "src_id").select("tgt_id.lon", "tgt_id.lat", "src_id", "km")
+    return least(targets.join(near, ["lon", "lat"]).select("tgt_id", "src_id", "km"), ("tgt_id",), "km", "src_id")
 
 
-def candidates(targets: DataFrame, sources: DataFrame, dims: tuple[str, ...], widths: tuple[float, ...]) -> DataFrame:
-    """Each target (tgt_id, t + dims) with the sources (s + dims and more) that can be its nearest, however far; each width is a quarter of the one before.
+def candidates(
+    targets: DataFrame, sources: DataFrame, dims: tuple[str, ...], widths: tuple[float, ...], k: int = 1, reach: float = math.inf
+) -> DataFrame:
+    """Each target (tgt_id, t + dims) with the sources (s + dims and more) that can be among its k nearest, however far or as far as `reach`.
 
-    Sources lie in cubes. From the widest down, a target keeps those that aren't
-    farther than some other is at most and meets their children by key, and at
-    last the sources in them.
+    Each width is a quarter of the one before. Sources lie in cubes. From the
+    widest down, a target keeps those that aren't farther than the nearest cubes
+    that hold k sources together are at most and meets their children by key,
+    and at last the sources in them. For k > 1 a source row stands for `_n` sources.
     """
     at = lambda width: [F.floor(F.col(f"s{c}") / width).cast("int").alias(f"c{c}") for c in dims]
+    mine = Window.partitionBy("tgt_id")
+
+    def cubes(width: float) -> DataFrame:
+        return sources.select(*at(width)).distinct() if k == 1 else sources.groupBy(*at(width)).agg(F.sum("_n").alias("_n"))
 
     def kept(df: DataFrame, width: float) -> DataFrame:
         low = {c: F.col(f"c{c}") * width for c in dims}
         near = sum((F.pow(F.greatest(low[c] - F.col(f"t{c}"), F.col(f"t{c}") - low[c] - width, F.lit(0.0)), F.lit(2.0)) for c in dims), F.lit(0.0))
         far = sum((F.pow(F.greatest(F.abs(F.col(f"t{c}") - low[c]), F.abs(F.col(f"t{c}") - low[c] - width)), F.lit(2.0)) for c in dims), F.lit(0.0))
-        df = df.withColumns({"_near": near, "_far": far}).withColumn("_least", F.min("_far").over(Window.partitionBy("tgt_id")))
+        df = df.withColumns({"_near": near, "_far": far})
+        if reach < math.inf:
+            df = df.where(F.col("_near") <= reach * reach * (1 + 1e-9) + 1e-9)
+        if k == 1:
+            df = df.withColumn("_least", F.min("_far").over(mine))
+        else:  # fewer than k in all: none is too far
+            df = df.withColumn("_held", F.sum("_n").over(mine.orderBy("_far")))
+            df = df.withColumn("_least", F.coalesce(F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(mine), F.lit(math.inf))).drop("_n", "_held")
         return df.where(F.col("_near") <= F.col("_least") * (1 + 1e-9) + 1e-9).drop("_near", "_far", "_least")
 
-    met = kept(targets.crossJoin(F.broadcast(sources.select(*at(widths[0])).distinct())), widths[0])  # few cubes of the greatest width
+    met = kept(targets.crossJoin(F.broadcast(cubes(widths[0]))), widths[0])  # few cubes of the greatest width
     for width in widths[1:]:
-        cubes = sources.select(*at(width)).distinct().select("*", *[F.shiftright(f"c{c}", 2).alias(f"p{c}") for c in dims])
+        children = cubes(width).select("*", *[F.shiftright(f"c{c}", 2).alias(f"p{c}") for c in dims])
         parents = met.withColumnsRenamed({f"c{c}": f"p{c}" for c in dims})
-        met = kept(parents.join(cubes, [f"p{c}" for c in dims]).drop(*[f"p{c}" for c in dims]), width)
+        met = kept(parents.join(children, [f"p{c}" for c in dims]).drop(*[f"p{c}" for c in dims]), width)
     return met.join(sources.select("*", *at(widths[-1])), [f"c{c}" for c in dims]).drop(*[f"c{c}" for c in dims])
 
 
-def nearest(targets: DataFrame, sources: DataFrame, widths: tuple[float, ...] = tuple(2.0**-n for n in (1, 3, 5, 7, 9))) -> DataFrame:
+def nearest(targets: DataFrame, sources: DataFrame, widths: tuple[float, ...] = WIDTHS) -> DataFrame:
     """The nearest source of each target however far it is, ties to the smaller id: tgt_id, src_id, km.
 
     targets: tgt_id, lon, lat; sources: src_id, lon, lat; points without a place have no row.

@@ -189,6 +189,49 @@ def test_neighbours_equal_brute_force(spark):
     assert all(r.v == pytest.approx(4.0) for r in spatial.apply_weights(field, w, [], "v").collect())
 
 
+def rows_of_operators(df):
+    """The greatest number of rows that an operator of a frame's plan gave out, once it has run."""
+    df.collect()
+
+    def walk(node):
+        name, found = node.getClass().getSimpleName(), node.metrics().get("numOutputRows")
+        yield found.get().value() if found.isDefined() else 0
+        inner = node.children()
+        for child in [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [inner.apply(n) for n in range(inner.size())]:
+            yield from walk(child)
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_neighbours_at_the_same_places_do_not_meet_in_pairs(spark):
+    none, nan = None, float("nan")
+    src = [(i, (0.0, 1.0, 40.0)[i % 3], -70.0) for i in range(300)] + [(300, none, -70.0), (301, nan, -70.0)]
+    tgt = [(i, (0.0, 1.0, 2.0, 120.0)[i % 4], -70.0) for i in range(400)] + [(400, 0.0, none), (401, nan, -70.0)] + [(4, 0.0, -70.0)]
+    near = spatial.neighbours(spark.createDataFrame(tgt, "tgt_id int, lon double, lat double"), spark.createDataFrame(src, "src_id int, lon double, lat double"), 2, 1000.0)
+    assert rows_of_operators(near) < 5000  # all pairs within the radius are some 60,000
+    got = {}
+    for r in near.collect():
+        got.setdefault(r.tgt_id, []).append((r["rank"], r.src_id, round(r.km)))
+    assert len(got) == 300
+    for i, rows in got.items():  # an id that is there twice has its neighbours together
+        assert sorted(rows) == ([(1, 0, 0), (2, 0, 0)] if i == 4 else [[(1, 0, 0), (2, 3, 0)], [(1, 1, 0), (2, 4, 0)], [(1, 1, 38), (2, 4, 38)]][i % 4])
+
+
+def test_neighbours_are_exact_where_cubes_hold_less_than_k(spark):
+    rng = random.Random(5)
+    point = lambda: (rng.choice((rng.uniform(-180, 180), rng.uniform(10, 10.5))), rng.choice((rng.uniform(-90, 90), rng.uniform(-70.2, -70))))
+    src, tgt = [(i, *point()) for i in range(150)], [(i, *point()) for i in range(60)]
+    to = lambda p: (math.cos(math.radians(p[1])) * math.cos(math.radians(p[0])), math.cos(math.radians(p[1])) * math.sin(math.radians(p[0])), math.sin(math.radians(p[1])))
+    frames = [spark.createDataFrame(p, f"{k} int, lon double, lat double") for k, p in (("tgt_id", tgt), ("src_id", src))]
+    for k, radius in ((4, 2500.0), (200, 500.0), (7, 30000.0)):
+        got = {}
+        for r in spatial.neighbours(*frames, k, radius).collect():
+            got.setdefault(r.tgt_id, []).append((r["rank"], r.src_id))
+        for i, *p in tgt:
+            near = sorted((d, j) for j, *q in src if (d := 2 * 6371 * math.asin(min(1, math.dist(to(p), to(q)) / 2))) <= radius)[:k]
+            assert [j for _, j in sorted(got.get(i, []))] == [j for _, j in near]
+
+
 def test_nearest_has_no_radius(spark):
     import math
     import random
