@@ -103,6 +103,19 @@ def apply_weights(values: DataFrame, weights: DataFrame, keys: list[str], value:
     return values.join(weights, "src_id").groupBy(*keys, "tgt_id").agg(F.sum(F.col("w") * F.col(value)).alias(value))
 
 
+def apply_shared_weights(values: DataFrame, rows: DataFrame, targets: DataFrame, row_keys: list[str], value: str) -> DataFrame:
+    """Sparse matrix times field where many targets have the same row of weights: tgt_id and the value.
+
+    rows: row_keys, src_id, w, each different row once; targets: tgt_id,
+    row_keys. The field meets the different rows only, so the work grows with
+    them and the targets, not with their product. A target that is there twice
+    gets the sum; one whose row has no source has none.
+    """
+    made = apply_weights(values, rows.withColumn("tgt_id", F.struct(*row_keys)).select("tgt_id", "src_id", "w"), [], value)
+    met = targets.select(F.col("tgt_id").alias("_tgt"), F.struct(*row_keys).alias("_row")).join(made, F.col("_row").eqNullSafe(F.col("tgt_id")))
+    return met.groupBy(F.col("_tgt").alias("tgt_id")).agg(F.sum(value).alias(value))
+
+
 def overlap_matrix(source: DataFrame, target: DataFrame) -> DataFrame:
     """Share of each target bin that each source bin covers; bins are tables of src/tgt, lo, hi of bounded size."""
     s, t = source.select("src_bin", F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi")), target.select("tgt_bin", F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"))

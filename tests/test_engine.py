@@ -232,6 +232,27 @@ def test_neighbours_are_exact_where_cubes_hold_less_than_k(spark):
             assert [j for _, j in sorted(got.get(i, []))] == [j for _, j in near]
 
 
+def test_weights_that_targets_share_are_applied_once(spark, tmp_path):
+    from nilas.plans.queries import QUERIES
+
+    customers = [(i, i % 2) for i in range(400)] + [(-7, 0), (-1, 1), (5, 0), (5, 1), (None, 0), (9, None), (900, 3)]
+    suppliers = [(i, i % 2, i / 7) for i in range(300)] + [(-4, 0, 2.5), (-3, 1, None), (8, 0, 1.5), (None, 1, 9.0)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["j19_apply_weights"](spark, str(tmp_path))
+    assert rows_of_operators(got) < 20_000  # all pairs of a nation are some 60,000
+    want = {}
+    for c, n in customers:
+        for s, m, _ in suppliers:
+            for again, _, v in suppliers if n == m and n is not None and s is not None else ():
+                if again == s:
+                    mod = None if c is None else int(math.fmod(c + s, 3))
+                    want.setdefault(c, []).extend([] if mod is None or v is None else [(1 + mod) / 10 * v])
+    rows = got.collect()
+    assert len(rows) == len(want) and {r.tgt_id for r in rows} == set(want)
+    assert all(r.value == (pytest.approx(sum(want[r.tgt_id])) if want[r.tgt_id] else None) for r in rows)
+
+
 def test_nearest_has_no_radius(spark):
     import math
     import random
