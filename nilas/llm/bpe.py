@@ -126,6 +126,7 @@ class Remembered:
         seen = self.seen
         for k in self.extra:
             del seen[k]
+        self.extra = []  # should computing fail
         full = len(seen) >= self.bound
         new = list({k for keys in rows for k in keys if k not in seen})
         seen.update(zip(new, self.compute(new), strict=True))

@@ -25,6 +25,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ class WordIds:
     LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
     LATIN = re.compile(f"[{LETTERS}]+|[^{LETTERS} \t-\r]+")
 
-    def __init__(self, path: str, remember: int = 200_000) -> None:
+    def __init__(self, path: str, remember: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's to share out
         from tokenizers import Tokenizer
 
@@ -101,6 +102,12 @@ class WordIds:
         return out
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """The process's own, so that what one task has learned serves the next ones of the same worker."""
+    return WordIds(path)
+
+
 def tokenized(
     docs: DataFrame, vocabulary: str, *, id_col: str, text_col: str, end_id: int, capacity: int, with_ids: bool, rows: int = 256
 ) -> DataFrame:
@@ -111,7 +118,7 @@ def tokenized(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(vocabulary), struct.pack("<I", end_id)
+        words, end = word_ids(vocabulary), struct.pack("<I", end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part, owner, cols = batch.slice(at, rows), [], [[] for _ in types]

@@ -95,6 +95,16 @@ def test_word_ids_with_little_memory():
         assert [np.frombuffer(x, "<u4").tolist() for x in w.ids(texts)] == ref
 
 
+def test_word_ids_are_remembered_across_tasks(monkeypatch):
+    path, texts = vocabulary("word_bpe_49k.json"), ["red foxes, two of them", "it's a x9-quartz day"]
+    first, asked = packing.word_ids(path).ids(texts), []
+    compute = packing.WordIds.encode
+    monkeypatch.setattr(packing.word_ids(path).units, "compute", lambda units: asked.extend(units) or compute(packing.word_ids(path), units))
+    assert packing.word_ids(path).ids(texts) == first == packing.WordIds(path).ids(texts) and not asked
+    packing.word_ids(path).ids(["red quartzes"])
+    assert asked == ["quartzes"]
+
+
 def test_ids_and_counts_around_every_character():
     rng = random.Random(7)
     chars = [chr(c) for c in range(0x323B0) if not 0xD800 <= c < 0xE000]
